@@ -7,15 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import mixing, quality_rules, sharding
+from texloom.llm import mixing, packing, quality_rules, repair, sharding
 from texloom.llm.common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; every machine of the cluster has the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = repair.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return repair.read_token_files(blocks)
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def op7_exponential_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -27,7 +43,9 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_repair_files": op2_repair_files,
     "op4_histogram_sort": op4_histogram_sort,
+    "op5_cost_packing": op5_cost_packing,
     "op7_exponential_mix": op7_exponential_mix,
     "op10_decision_lists": op10_decision_lists,
 }
