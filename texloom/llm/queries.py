@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import mixing, packing, quality_rules, repair, sharding
+from texloom.llm import mixing, packing, pii, quality_rules, repair, sharding
 from texloom.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op2_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read_token_files(blocks)
 
 
+def op3_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -44,6 +48,7 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair_files": op2_repair_files,
+    "op3_semi_markov": op3_semi_markov,
     "op4_histogram_sort": op4_histogram_sort,
     "op5_cost_packing": op5_cost_packing,
     "op7_exponential_mix": op7_exponential_mix,
