@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import mixing, packing, pii, quality_rules, repair, sharding
+from texloom.llm import mixing, neighbours, packing, permutations, pii, quality_rules, repair, sharding
 from texloom.llm.common import table
 
 
@@ -40,6 +40,17 @@ def op7_exponential_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_nearest_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neighbours.score(docs, neighbours.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = permutations.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
@@ -52,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_histogram_sort": op4_histogram_sort,
     "op5_cost_packing": op5_cost_packing,
     "op7_exponential_mix": op7_exponential_mix,
+    "op8_nearest_votes": op8_nearest_votes,
+    "op9_permutation_index": op9_permutation_index,
     "op10_decision_lists": op10_decision_lists,
 }
 ORACLE_SQL: dict[str, str] = {}
