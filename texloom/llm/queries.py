@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import mixing, neighbours, packing, permutations, pii, quality_rules, repair, sharding
+from texloom.llm import mixing, neighbours, packing, pages, permutations, pii, quality_rules, repair, sharding
 from texloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = repair.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
     return repair.read_token_files(blocks)
@@ -58,6 +62,7 @@ def op10_decision_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_host_paths": op1_host_paths,
     "op2_repair_files": op2_repair_files,
     "op3_semi_markov": op3_semi_markov,
     "op4_histogram_sort": op4_histogram_sort,
