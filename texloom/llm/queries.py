@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from texloom.llm import mixing, neighbours, packing, pages, permutations, pii, quality_rules, repair, sharding
+from texloom.llm import mixing, neighbours, packing, pages, permutations, pii, quality_rules, repair, set_join, sharding
 from texloom.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op5_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_set_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.join_sets(table(spark, sf_dir, "documents"))
+
+
 def op7_exponential_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_semi_markov": op3_semi_markov,
     "op4_histogram_sort": op4_histogram_sort,
     "op5_cost_packing": op5_cost_packing,
+    "op6_set_relations": op6_set_relations,
     "op7_exponential_mix": op7_exponential_mix,
     "op8_nearest_votes": op8_nearest_votes,
     "op9_permutation_index": op9_permutation_index,
