@@ -18,6 +18,8 @@ from texloom.llm.common import WORD, stage
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST_EPOCHS = 1.5, 2
 SEED = 17
+#: Tables with a row per source are broadcast up to so many rows, and joined by a shuffle beyond.
+MOST_BROADCAST = 10_000
 
 
 def water_fill(sizes: list[int], weights: list[float], total: float, most: float = MOST_EPOCHS) -> list[float]:
@@ -49,52 +51,81 @@ def quality_weight(text: Column) -> Column:
     return F.when(n > 0, F.greatest(F.lit(0.1), F.pow(1 - odd / n, F.lit(4)))).otherwise(F.lit(0.1))
 
 
-def sample_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, bins: int) -> DataFrame:
+def sample_keys(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, bins: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, source, size, key, bin: no texts, so it is small enough to stage."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality_weight(text).alias("w"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("hash"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), quality_weight(text).alias("w"), F.xxhash64(F.lit(seed), F.col(id_col), text).alias("hash"), *keep)
     u = (F.shiftrightunsigned("hash", 11).cast("double") + 0.5) / float(1 << 53)
     rows = rows.withColumn("key", -F.log(u) / F.col("w"))
     # 1 - exp(-key) rises with the key, from 0 to 1, almost evenly.
-    return rows.select("doc_id", "source", "size", "key", "hash", F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("key"))) * bins)).cast("int").alias("bin"))
+    return rows.select("doc_id", "source", "size", "key", "hash", *keep, F.least(F.lit(bins - 1), F.floor((1 - F.exp(-F.col("key"))) * bins)).cast("int").alias("bin"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, bins: int = 1024) -> DataFrame:
-    """What a mix takes of every document.
-
-    Columns: doc_id, source, size, source_size, target, epochs (whole copies taken), taken.
-    Sources by code point, null last, weigh ``weights`` in turn. A null text has size 0. The last
-    document of a source is taken whole if that ends nearer its target. Ties of keys go by hash and
-    id; repeated rows are documents of their own. One row per source (not per document)
-    is gathered on the driver.
-    """
-    keys = stage(sample_keys(docs, id_col, text_col, source_col, seed, bins), "mix_keys")
-    sums = stage(keys.groupBy("source", "bin").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "mix_bins")
+def sources_plan(keys: DataFrame, sums: DataFrame, weights: tuple[float, ...], share: float) -> tuple[DataFrame, bool]:
+    """Per source: source_size, target, epochs, rest (what is left after them), and the bin in which the rest ends
+    with the size of the bins before it; and whether the sources are few enough to broadcast."""
     found = sums.groupBy("source").agg(F.sum("bytes").alias("size")).collect()
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     sizes = [int(r["size"]) for r in found]
     targets = water_fill(sizes, [weights[k % len(weights)] for k in range(len(found))], share * sum(sizes))
-    spark = docs.sparkSession
     goals = []
     for r, size, target in zip(found, sizes, targets, strict=True):
         epochs = int(target // size) if size else 0
         goals.append((r["source"], size, float(target), epochs, float(target - epochs * size)))
-    goal = spark.createDataFrame(goals, "source string, source_size long, target double, epochs int, rest double")
+    goal = keys.sparkSession.createDataFrame(goals, "source string, source_size long, target double, epochs int, rest double")
+    few = len(goals) <= MOST_BROADCAST
+    # A budget ends in the first bin that brings the sum above it.
+    run = F.sum("bytes").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    ends = by_source(sums.withColumn("upto", run), goal, few).where((F.col("upto") > F.col("rest")) & (F.col("rest") > 0))
+    ends = ends.groupBy("source").agg(F.min(F.struct("bin", "upto", "bytes")).alias("e")).select("source", F.col("e.bin").alias("end_bin"), (F.col("e.upto") - F.col("e.bytes")).alias("before"))
+    return by_source(goal, ends, few), few
 
-    def with_goals(df: DataFrame) -> DataFrame:
-        g = goal.withColumnRenamed("source", "__s")
-        return df.join(F.broadcast(g) if len(goals) <= 10_000 else g, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
-    # Per source: the bin in which the rest of the budget ends, and what the bins before it hold.
-    run = F.sum("bytes").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-    ends = with_goals(sums.withColumn("upto", run)).where((F.col("upto") > F.col("rest")) & (F.col("rest") > 0))
-    ends = ends.groupBy("source").agg(F.min(F.struct("bin", "upto", "bytes")).alias("e")).select(F.col("source").alias("__s"), F.col("e.bin").alias("end_bin"), (F.col("e.upto") - F.col("e.bytes")).alias("before"))
-    rows = with_goals(keys).join(F.broadcast(ends) if len(goals) <= 10_000 else ends, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+def by_source(rows: DataFrame, table: DataFrame, few: bool) -> DataFrame:
+    """Left join on the source, null included."""
+    t = table.withColumnRenamed("source", "__s")
+    return rows.join(F.broadcast(t) if few else t, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
+
+
+def _decided(docs: DataFrame, weights: tuple[float, ...], share: float, id_col: str, text_col: str, source_col: str, seed: int, bins: int) -> tuple[DataFrame, DataFrame, bool]:
+    keys = stage(sample_keys(docs, id_col, text_col, source_col, seed, bins), "mix_keys")
+    sums = stage(keys.groupBy("source", "bin").agg(F.sum("size").alias("bytes")), "mix_bins")
+    plan, few = sources_plan(keys, sums, weights, share)
+    plan = stage(plan, "mix_plan")
+    rows = by_source(keys, plan, few)
     edge = (F.col("rest") > 0) & (F.col("bin") == F.col("end_bin"))
     own = Window.partitionBy("source", "bin").orderBy("key", "hash", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = rows.where(edge).withColumn("upto", F.col("before") + F.sum("size").over(own))
-    over = F.col("upto") - F.col("rest")
-    at_edge = at_edge.withColumn("more", ((over <= 0) | (2 * over < F.col("size"))).cast("int")).drop("upto")
-    others = rows.where(~F.coalesce(edge, F.lit(False))).withColumn("more", ((F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")))).cast("int"))
-    both = others.unionByName(at_edge).withColumn("epochs", F.col("epochs") + F.col("more"))
-    return both.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+    over = F.col("before") + F.sum("size").over(own) - F.col("rest")
+    at_edge = rows.where(edge).withColumn("over", over).withColumn("more", ((F.col("over") <= 0) | (2 * F.col("over") < F.col("size"))).cast("int")).drop("over").withColumn("edge", F.lit(True))
+    others = rows.where(~F.coalesce(edge, F.lit(False))).withColumns({"more": ((F.col("rest") > 0) & (F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")))).cast("int"), "edge": F.lit(False)})
+    return others.unionByName(at_edge), plan, few
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, bins: int = 1024) -> DataFrame:
+    """What a mix takes of every document.
+
+    Columns: doc_id, source, size, source_size, target, epochs (whole copies taken), taken.
+    Sources by code point, null last, weigh ``weights`` in turn. A null text has size 0. The last
+    document of a source is taken whole if that ends nearer its target. Ties of keys go by hash and
+    id; repeated rows are documents of their own. One row per source (not per document)
+    is gathered on the driver.
+    """
+    rows, _, _ = _decided(docs, weights, share, id_col, text_col, source_col, seed, bins)
+    rows = rows.withColumn("epochs", F.col("epochs") + F.col("more"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "epochs", (F.col("epochs") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, bins: int = 1024) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it, with all their columns.
+
+    A document's key is computed again and set against its source's last key taken, so texts are not
+    shuffled. Rows alike in id, text and source share a key; at the cut all of them go in.
+    """
+    decided, plan, few = _decided(docs, weights, share, id_col, text_col, source_col, seed, bins)
+    cut = decided.where(F.col("edge") & (F.col("more") == 1)).groupBy("source").agg(F.max(F.struct("key", "hash")).alias("cut"))
+    plan = stage(by_source(plan, cut, few), "mix_cuts")
+    whole = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source"))
+    rows = by_source(sample_keys(whole, "__id", "__text", "__source", seed, bins, keep=("__row",)), plan, few)
+    inside = F.col("end_bin").isNull() | (F.col("bin") < F.col("end_bin")) | ((F.col("bin") == F.col("end_bin")) & F.coalesce(F.struct("key", "hash") <= F.col("cut"), F.lit(False)))
+    times = F.col("epochs") + ((F.col("rest") > 0) & inside).cast("int")
+    return rows.withColumn("__times", times).where(F.col("__times") > 0).select("__row", F.explode(F.sequence(F.lit(1), F.col("__times")))).select("__row.*")

@@ -221,4 +221,8 @@ def apply_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
     an empty table.
     """
     rows = text_statistics(docs, id_col, text_col, keep)
-    return rows.withColumns({"base_failed": base_failed(), "rule": rejected_by(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    rows = rows.withColumns({"base_failed": base_failed(), "rule": rejected_by(rules)})
+    # Always true, and unknown to the optimizer: a filter on kept would otherwise be moved below the statistics
+    # and work each of them out anew wherever another refers to it.
+    barrier = F.monotonically_increasing_id() >= 0
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0) & barrier)
