@@ -28,7 +28,7 @@ BASE = 1 << 16
 TABLE_BITS = 20
 
 
-def compress(ids: np.ndarray, rounds: int = 8, most_rules: int = 4096, least_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, rounds: int = 5, most_rules: int = 4096, least_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (n x 2). Each round replaces up to ``most_rules`` of the most frequent pairs, left to right.
 
     Ends when no pair occurs ``least_count`` times. Ties of frequency go to the smaller pair.

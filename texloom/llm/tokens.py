@@ -27,17 +27,24 @@ def byte_alphabet() -> dict[int, str]:
 
 
 class Chunks(dict):
-    """Ids of chunks, found when first asked for. At most ``most`` stay, checked by trim()."""
+    """Ids of chunks, found when first asked for.
+
+    When more than ``most`` are held, trim() sets them aside; those asked for again come
+    back, the rest go at the next trim.
+    """
 
     def __init__(self, find, most: int) -> None:
         self.find, self.most = find, most
+        self.aside: dict = {}
 
     def __missing__(self, chunk: str) -> bytes | None:
-        ids = self[chunk] = self.find(chunk)
+        aside = self.aside
+        ids = self[chunk] = aside[chunk] if chunk in aside else self.find(chunk)
         return ids
 
     def trim(self) -> None:
         if len(self) > self.most:
+            self.aside = dict(self)
             self.clear()
 
 
@@ -48,7 +55,7 @@ class ChunkEncoder:
     otherwise a chunk keeps the space before it (byte-level). Null counts as empty.
     """
 
-    def __init__(self, path: str, drops_space: bool, end_id: int = 2, most_chunks: int = 250_000) -> None:
+    def __init__(self, path: str, drops_space: bool, end_id: int = 2, most_chunks: int = 450_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
