@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from texloom.functions import catalog as C
 from texloom.functions import tables as T
+from texloom.functions.rasters import let
 
 DDS, KTX2 = b"DDS ", b"\xabKTX 20\xbb\r\n\x1a\n"
 MAGIC = {"png": b"\x89PNG\r\n\x1a\n", "jpg": b"\xff\xd8\xff", "bmp": b"BM", "dds": DDS, "ktx2": KTX2}
@@ -25,9 +26,13 @@ def bytes_of(value: Column, size: int = 4) -> Column:
     return F.unhex(F.concat(*[F.substring(text, 2 * k + 1, 2) for k in reversed(range(size))]))
 
 
-def put(raw: Column, offset: int, value: Column) -> Column:
-    """The bytes with a 32-bit number written at an offset."""
-    return F.concat(F.substring(raw, 1, offset), bytes_of(value), F.substring(raw, offset + 5, 1 << 30))
+def put(raw: Column, values: dict[int, Column]) -> Column:
+    """The bytes with 32-bit numbers written at offsets, as one concatenation of slices."""
+    parts, at = [], 0
+    for offset in sorted(values):
+        parts += [F.substring(raw, at + 1, offset - at), bytes_of(values[offset])]
+        at = offset + 4
+    return F.concat(*parts, F.substring(raw, at + 1, 1 << 30))
 
 
 def has_magic(raw: Column, kind: str) -> Column:
@@ -71,26 +76,27 @@ def mended_dds(raw: Column) -> Column:
     flags = F.when(known, flags.bitwiseOR(F.lit(0x80000)).bitwiseAND(F.lit(0xFFFFFFF7))).otherwise(flags)
     caps = little(raw, 108).bitwiseOR(F.lit(0x1000)).bitwiseOR(F.when(mips > 1, 0x400008).otherwise(0).cast("long"))
     size = F.when(known, C.linear_size(header["width"], header["height"], block)).otherwise(little(raw, 20))
-    out = raw
-    for offset, value in ((4, F.lit(124)), (76, F.lit(32)), (28, mips), (20, size), (8, flags), (108, caps)):
-        out = put(out, offset, value)
+    out = put(raw, {4: F.lit(124), 8: flags, 20: size, 28: mips, 76: F.lit(32), 108: caps})
     return F.when(has_magic(raw, "dds") & (F.length(raw) >= 128), out).otherwise(raw)
 
 
 def srgb_dds(raw: Column) -> Column:
     """DXGI codes of linear formats made sRGB."""
     new = C.lookup(little(raw, 128), T.DXGI_SRGB)
-    return F.when(has_magic(raw, "dds") & (F.substring(raw, 85, 4).cast("string") == "DX10") & new.isNotNull(), put(raw, 128, new)).otherwise(raw)
+    return F.when(has_magic(raw, "dds") & (F.substring(raw, 85, 4).cast("string") == "DX10") & new.isNotNull(), put(raw, {128: new})).otherwise(raw)
 
 
 def mip_chain(levels: Column) -> Column:
     """One file of an array of struct(level, raw), each a single-level file: the first header with the count, then all data."""
-    ordered = F.array_sort(levels)
+    return let(F.array_sort(levels), _chained)
+
+
+def _chained(ordered: Column) -> Column:
     first = F.get(ordered, F.lit(0))["raw"]
     head = F.when(F.substring(first, 85, 4).cast("string") == "DX10", 148).otherwise(128)
     data = F.aggregate(ordered, F.lit(b""), lambda acc, m: F.concat(acc, F.substr(m["raw"], head + 1)))
     body = F.concat(F.substr(first, F.lit(1), head), data)
-    return mended_dds(put(body, 28, F.size(ordered)))
+    return let(put(body, {28: F.size(ordered)}), mended_dds)
 
 
 def ktx2_header(raw: Column) -> Column:
