@@ -68,16 +68,21 @@ def dds_issues(raw: Column) -> Column:
 
 def mended_dds(raw: Column) -> Column:
     """The header with its fixed sizes, at least one mip, required flags, linear size and caps; other files as they are."""
-    header = dds_header(raw)
+    read = F.struct(raw.alias("raw"), dds_header(raw).alias("h"), little(raw, 8).alias("flags"), little(raw, 108).alias("caps"), little(raw, 20).alias("size"))
+    return let(read, _mended)
+
+
+def _mended(s: Column) -> Column:
+    header = s["h"]
     mips = F.greatest(header["mips"], F.lit(1).cast("long"))
     block = C.lookup(header["codec"], T.BLOCK_BYTES)
     known = block.isNotNull() & (header["width"] > 0) & (header["height"] > 0)
-    flags = little(raw, 8).bitwiseOR(F.lit(0x1007)).bitwiseOR(F.when(mips > 1, 0x20000).otherwise(0).cast("long"))
+    flags = s["flags"].bitwiseOR(F.lit(0x1007)).bitwiseOR(F.when(mips > 1, 0x20000).otherwise(0).cast("long"))
     flags = F.when(known, flags.bitwiseOR(F.lit(0x80000)).bitwiseAND(F.lit(0xFFFFFFF7))).otherwise(flags)
-    caps = little(raw, 108).bitwiseOR(F.lit(0x1000)).bitwiseOR(F.when(mips > 1, 0x400008).otherwise(0).cast("long"))
-    size = F.when(known, C.linear_size(header["width"], header["height"], block)).otherwise(little(raw, 20))
-    out = put(raw, {4: F.lit(124), 8: flags, 20: size, 28: mips, 76: F.lit(32), 108: caps})
-    return F.when(has_magic(raw, "dds") & (F.length(raw) >= 128), out).otherwise(raw)
+    caps = s["caps"].bitwiseOR(F.lit(0x1000)).bitwiseOR(F.when(mips > 1, 0x400008).otherwise(0).cast("long"))
+    size = F.when(known, C.linear_size(header["width"], header["height"], block)).otherwise(s["size"])
+    out = put(s["raw"], {4: F.lit(124), 8: flags, 20: size, 28: mips, 76: F.lit(32), 108: caps})
+    return F.when(header.isNotNull() & (F.length(s["raw"]) >= 128), out).otherwise(s["raw"])
 
 
 def srgb_dds(raw: Column) -> Column:
