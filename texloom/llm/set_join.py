@@ -8,10 +8,13 @@
    lists with size and position.
 3. Lists are cut into blocks by size, and blocks whose positions rule out a link are skipped
    (index-level skipping). Lists of the same members are kept once.
-4. Round one verifies each list's members against one pivot only. A set whose pivot's answer is known
+4. Before any text is sent for a pair, parity bitmaps of the two sets (2n to 4n bits each) bound
+   their intersection from above; pairs that cannot be links go, without a false dismissal.
+5. Round one verifies each list's members against one pivot only. A set whose pivot's answer is known
    takes it over: sets found linked are one component, and no pair inside a component is ever
-   verified again (answer-level skipping). Round two verifies the pairs of a list that still lie
-   in different components, in bounded chunks.
+   verified again (answer-level skipping). The next rounds verify, for each component in a list, the few
+   pairs with other components whose bitmaps agree most; the last verifies all pairs that still
+   lie in different components and whose bitmaps allow a link, in bounded chunks.
 
 Postings travel as packed arrays, so neither the JVM nor Python handles a row for each.
 """
@@ -33,7 +36,9 @@ WORDS = 5
 COUNTED = 0.3
 #: A shingle of more texts than this is frequent; at most MOST_FREQUENT such (8 MB) are broadcast.
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
-#: Members of a list that one task compares in round two; pairs of one pivot that one group verifies.
+#: Rounds in which each component of a list tries its BEST pairs only, before the round that tries all.
+BEST, BEST_ROUNDS = 3, 1
+#: Members of a list that one task compares; pairs of one pivot that one group verifies.
 CHUNK, PIVOT_GROUP = 2048, 512
 FLUSH = 1 << 21
 
@@ -111,6 +116,24 @@ def fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).astype(np.int64)), int(b.sum(dtype=np.uint64).astype(np.int64))
 
 
+def parity(s: np.ndarray) -> bytes:
+    """One bit for each hash slot: whether an odd number of members fall in it. A power of two of slots, 2n to 4n."""
+    width = 2 << max(6, (max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").tobytes()
+
+
+def most_shared(n: int, x: bytes, m: int, y: bytes) -> int:
+    """An upper bound of the intersection of sets of n and m members: slots that differ need members that differ."""
+    a, b, la, lb = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(x), 8 * len(y)
+    if la < lb:
+        a, b, la, lb = b, a, lb, la
+    while la > lb:  # the wider folds onto the narrower
+        la //= 2
+        a = (a >> la) ^ (a & ((1 << la) - 1))
+    return (n + m - (a ^ b).bit_count()) // 2
+
+
 def prefix_length(n: np.ndarray | int):
     return n - (4 * n + 4) // 5 + 1
 
@@ -174,20 +197,20 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
     limit = np.uint64(int(COUNTED * 2**64))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("bits", pa.binary()), ("bucket", pa.int32()), ("keys", pa.binary())])
         held: list[np.ndarray] = []
         size, seen = 0, set()
 
         def flush() -> pa.RecordBatch:
             dealt = list(_by_bucket(np.concatenate(held), buckets))
             k = len(dealt)
-            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.array([b for b, _ in dealt], pa.int32()), pa.array([x[0] for _, x in dealt], pa.binary())], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64())] * 4 + [pa.nulls(k, pa.binary()), pa.array([b for b, _ in dealt], pa.int32()), pa.array([x[0] for _, x in dealt], pa.binary())], schema=schema)
 
         for batch, sets in _texts(batches, 1):
             prints = [fingerprint(s) for s in sets]
             k = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
                 schema=schema,
             )
             for s, p in zip(sets, prints, strict=True):
@@ -203,7 +226,7 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(read, "doc_id long, n long, f1 long, f2 long, bucket int, keys binary")
+    return docs.mapInArrow(read, "doc_id long, n long, f1 long, f2 long, bits binary, bucket int, keys binary")
 
 
 def frequent_keys(counted: DataFrame, buckets: int) -> np.ndarray:
@@ -339,8 +362,8 @@ def star_pairs(lists: DataFrame) -> DataFrame:
     return lists.select("handles", "sizes").mapInArrow(stars, "a long, b long").distinct()
 
 
-def open_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a list's members in different components, sizes within reach; the larger handle is b."""
+def list_members(lists: DataFrame) -> DataFrame:
+    """sig, h, n: a row for each member of a list."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -349,55 +372,108 @@ def open_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
             if handles:
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(h) for h in handles])), pa.array(np.concatenate(handles)), pa.array(np.concatenate(sizes).astype(np.int64))], names=["sig", "h", "n"])
 
-    rows = lists.select("sig", "handles", "sizes").mapInArrow(members, "sig long, h long, n long")
-    rows = rows.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    rows = stage(rows, "list_members")
+    return lists.select("sig", "handles", "sizes").mapInArrow(members, "sig long, h long, n long")
+
+
+def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes], apart: np.ndarray | None, best: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows (sorted by n) of different roots, sizes within reach, that bitmaps allow; with ``best``, the best
+    few of each root only. ``apart``: rows with equal numbers are compared elsewhere."""
+    words = np.array([len(b) // 8 for b in bits])
+    rows: dict[int, np.ndarray] = {}
+    at: dict[int, np.ndarray] = {}
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero((words >= w) & (words <= 4 * w))
+        m = np.zeros((len(own), w), np.uint64)
+        for r, k in enumerate(own.tolist()):
+            x = np.frombuffer(bits[k], "<u8")
+            while len(x) > w:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            m[r] = x
+        rows[w], at[w] = m, np.full(len(h), -1)
+        at[w][own] = np.arange(len(own))
+    reach = np.searchsorted(4 * n, 5 * n, "right")
+    left, right, score = [], [], []
+    for k in range(len(h)):
+        to = np.arange(k + 1, reach[k])
+        keep = root[to] != root[k]
+        if apart is not None:
+            keep &= apart[to] != apart[k]
+        to = to[keep]
+        if not len(to):
+            continue
+        w = int(words[k])
+        m, place = rows[w], at[w]
+        differ = np.bitwise_count(m[place[to]] ^ m[place[k]]).sum(axis=1).astype(np.int64)
+        shared = (n[to] + n[k] - differ) // 2
+        could = 9 * shared >= 4 * (n[to] + n[k])
+        to = to[could]
+        if len(to):
+            left.append(np.full(len(to), k))
+            right.append(to)
+            score.append(shared[could] / (n[to] + n[k]))
+    if not left:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+    if best is not None:
+        pair = np.tile(np.arange(len(a)), 2)
+        of = np.concatenate((root[a], root[b]))
+        order = np.lexsort((h[b][pair], h[a][pair], -s[pair], of))
+        of, pair = of[order], pair[order]
+        first = np.concatenate(([True], of[1:] != of[:-1]))
+        rank = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
+        chosen = np.unique(pair[rank < best])
+        a, b = a[chosen], b[chosen]
+    return h[a], h[b]
+
+
+def open_pairs(members: DataFrame, roots: DataFrame, heads: DataFrame, best: int | None) -> DataFrame:
+    """Pairs (a < b) of a list's members in different components that may be links."""
+    rows = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k")).where(F.col("r0") != F.col("r1"))
-    chunks = F.ceil(F.col("k") / CHUNK).cast("int")
-    own = F.pmod(F.xxhash64("h"), F.col("c")).cast("int")
-    rows = rows.join(mixed.select("sig", chunks.alias("c")), "sig").withColumn("own", own)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "n", "root")
+    rows = rows.join(mixed.select("sig", F.ceil(F.col("k") / CHUNK).cast("int").alias("c")), "sig")
+    rows = rows.join(heads.select(F.col("f1").alias("h"), "bits"), "h")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "n", "root", "bits")
 
     def cross(table: pa.Table) -> pa.Table:
         h, n, root, own = (table.column(c).to_numpy() for c in ("h", "n", "root", "own"))
         order = np.lexsort((h, n))
-        h, n, root, own = h[order], n[order], root[order], own[order]
+        bits = table.column("bits").to_pylist()
         split = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        reach = np.searchsorted(4 * n, 5 * n, "right")
-        a, b = [], []
-        for k in range(len(h)):
-            to = np.arange(k + 1, reach[k])
-            to = to[(root[to] != root[k]) & ((own[to] != own[k]) | (not split))]
-            if len(to):
-                a.append(np.full(len(to), h[k]))
-                b.append(h[to])
-        x, y = (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+        x, y = cross_pairs(h[order], n[order], root[order], [bits[k] for k in order.tolist()], own[order] if split else None, best)
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return rows.groupBy("sig", "i", "j").applyInArrow(cross, "a long, b long").distinct()
 
 
+def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs whose bitmaps do not rule out a link."""
+    for side in "ab":
+        pairs = pairs.join(heads.select(F.col("f1").alias(side), F.col("n").alias(f"n{side}"), F.col("bits").alias(f"bits{side}")), side)
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, x, m, y = (batch.column(c).to_pylist() for c in range(2, 6))
+            keep = [linked(most_shared(*p), p[0], p[2]) for p in zip(n, x, m, y, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(bound, "a long, b long")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, most_broadcast: int = 400_000) -> DataFrame:
     """The pairs that are links, by exact intersection of their whole texts' sets: a, b.
 
     Pairs of one pivot are dealt to groups of bounded size; a group streams the pivot first, then
     its members.
     """
-    def texts_of(rows: DataFrame, handle: str) -> DataFrame:
-        wanted = heads.join(rows.select(F.col(handle).alias("f1")).distinct(), "f1", "left_semi")
-        wanted = stage(wanted.select("f1", F.col("head").alias("doc_id")), "wanted")
-        small = wanted.count() <= most_broadcast
-        found = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select(F.col("f1").alias(handle), "text")
-        return rows.join(found, handle)
-
-    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(1 << 20)))
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_GROUP).alias("groups"))
-    salted = salted.join(counts, "a").select("a", F.pmod("salt", "groups").alias("salt"), "b")
-    salted = stage(salted, "pairs")
-    members = texts_of(salted, "b").select("a", "salt", F.lit(1).alias("role"), "b", "text")
-    pivots = texts_of(salted.select("a", "salt").distinct(), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "text")
-    rows = pivots.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    salted = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("salt"), "b")
+    roles = salted.select("a", "salt", F.lit(1).alias("role"), "b").unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")).distinct())
+    wanted = stage(roles.join(heads.select(F.col("f1").alias("b"), F.col("head").alias("doc_id")), "b").where(F.col("doc_id").isNotNull()), "wanted")
+    # Few rows (40 bytes each) go to the texts; many are joined by a shuffle. Either way a text is then sent once for each.
+    small = wanted.count() <= most_broadcast
+    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("a", "salt", "role", "b", "text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot, held = None, np.zeros(0, np.uint64)
@@ -428,20 +504,25 @@ def join_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     described = stage(describe(docs, buckets), "described")
-    rows = described.where(F.col("keys").isNull()).select("doc_id", "n", "f1", "f2")
+    rows = described.where(F.col("keys").isNull()).select("doc_id", "n", "f1", "bits")
     frequent = frequent_keys(described.where(F.col("keys").isNotNull()).select("bucket", "keys"), buckets)
     lists = stage(inverted_lists(postings(docs, buckets, frequent), buckets), "lists")
     # A class's head: the document whose text stands for it.
-    heads = stage(rows.where(F.col("n") > 0).groupBy("f1").agg(F.min("doc_id").alias("head")), "heads")
+    heads = stage(rows.where(F.col("n") > 0).groupBy("f1").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("bits").alias("bits")), "heads")
     tried = stage(star_pairs(lists), "star_pairs")
-    links = stage(verify(tried, docs, heads), "star_links")
+    links = stage(verify(stage(possible(tried, heads), "star_possible"), docs, heads), "star_links")
     roots = components(links)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stage(open_pairs(lists, roots).join(known, ["a", "b"], "left_anti"), "open_pairs")
-    if rest.head(1):
+    members = stage(list_members(lists), "list_members")
+    for best in (*[BEST] * BEST_ROUNDS, None):
+        rest = stage(open_pairs(members, roots, heads, best).join(known, ["a", "b"], "left_anti"), "open_pairs")
+        if not rest.head(1):
+            continue
+        known = known.unionByName(rest)
         more = stage(verify(rest, docs, heads), "open_links")
         if more.head(1):
-            roots = components(links.unionByName(more))
+            links = links.unionByName(more)
+            roots = components(links)
     return _labelled(rows, heads, roots)
 
 
