@@ -87,8 +87,8 @@ CHECKPOINT = "config_fingerprint string, last_saved string, completed map<string
 
 def read_checkpoint(spark: SparkSession, path: str, mark: str) -> DataFrame:
     """(filepath, hash, phase, fingerprint) of a checkpoint document; nothing if it is malformed or of another configuration."""
-    text = spark.read.option("wholetext", "true").text(path)
-    doc = text.select(F.from_json("value", CHECKPOINT).alias("d")).where(F.col("d.config_fingerprint") == mark)
+    text = spark.read.text(path, wholetext=True)
+    doc = text.select(F.from_json("value", CHECKPOINT).alias("d")).where(F.col("d.config_fingerprint") == F.lit(mark))
     rows = doc.select("d.config_fingerprint", F.explode("d.completed").alias("filepath", "e")).where(F.col("e.hash").isNotNull())
     return rows.select("filepath", "e.hash", F.explode("e.phases").alias("phase"), F.col("config_fingerprint").alias("fingerprint"))
 
