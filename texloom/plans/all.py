@@ -1,4 +1,4 @@
 """Importing this module enters every query."""
 
-from texloom.plans import catalogue, derived, outcomes, pixels  # noqa: F401
+from texloom.plans import catalogue, checks, derived, outcomes, pixels  # noqa: F401
 from texloom.plans.registry import QUERIES, SQL  # noqa: F401
