@@ -40,7 +40,7 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 20
 BEST, BEST_ROUNDS = 3, 1
 #: Members of a list that one task compares; pairs of one pivot that one group verifies.
 CHUNK, PIVOT_GROUP = 2048, 512
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -215,7 +215,7 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
             )
             for s, p in zip(sets, prints, strict=True):
                 if p[0] not in seen:  # copies met again in this task count once
-                    if len(seen) < 500_000:
+                    if len(seen) < 200_000:
                         seen.add(p[0])
                     part = (s[: np.searchsorted(s, limit)] >> np.uint64(32)).astype(np.uint32)
                     held.append(part)
@@ -271,7 +271,7 @@ def postings(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
                 handle = fingerprint(s)[0]
                 if handle in seen:
                     continue
-                if len(seen) < 500_000:
+                if len(seen) < 200_000:
                     seen.add(handle)
                 p = prefix_length(n)
                 low = int(np.searchsorted(s, limit))
