@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texloom.llm.tokens import encoder
+from texloom.llm.tokens import MOST_CHUNKS, encoder
 
 CAPACITY = 4096
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n^2 (a feed-forward width against attention).
@@ -84,7 +84,7 @@ def pack_block(sizes: list[int], capacity: int = CAPACITY) -> list[Piece]:
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 21, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 21, with_ids: bool = False, most_chunks: int = MOST_CHUNKS) -> DataFrame:
     """Pieces of packed sequences.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian
@@ -99,7 +99,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, first = encoder(tokenizer, True, end_id), TaskContext.get().partitionId() << 40
+        enc, first = encoder(tokenizer, True, end_id, most_chunks), TaskContext.get().partitionId() << 40
         numbers: list[int | None] = []
         held: list[bytes] = []
         size = 0

@@ -12,11 +12,14 @@ import re
 from array import array
 from functools import lru_cache
 
+#: Chunks in each of a worker's tables, about 200 bytes each (twice that with those set aside).
+MOST_CHUNKS = 600_000
 #: Between two characters that no tokenizer takes for white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Latin letters (all composed, all with a one-letter lower case), then punctuation other than the apostrophe:
-#: two tokenizer words at most, whatever stands around them.
-PLAIN = re.compile("([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-&(-/:-@\\[-`{-~]*)")
+#: Latin letters, all composed and all with a one-letter lower case. With punctuation other than the apostrophe
+#: after them they are two tokenizer words at most, whatever stands around them.
+LETTERS = re.compile("[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+MARKS = "".join(c for c in map(chr, range(0x21, 0x7F)) if not c.isalnum() and c != "'")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -55,7 +58,7 @@ class ChunkEncoder:
     otherwise a chunk keeps the space before it (byte-level). Null counts as empty.
     """
 
-    def __init__(self, path: str, drops_space: bool, end_id: int = 2, most_chunks: int = 450_000) -> None:
+    def __init__(self, path: str, drops_space: bool, end_id: int = 2, most_chunks: int = MOST_CHUNKS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -78,14 +81,16 @@ class ChunkEncoder:
         return array("I", [t.id for t in self.split_words(shown)]).tobytes()
 
     def _chunk(self, chunk: str, space: str) -> bytes:
-        if m := PLAIN.fullmatch(chunk):
-            letters, marks = m.groups()
+        letters = chunk.rstrip(MARKS)
+        if letters.isalpha() and (letters.isascii() or LETTERS.fullmatch(letters)):
             ids = self.words[letters.lower() if self.drops_space else space + letters]
-            return ids + self.words[marks] if marks else ids
+            return ids if len(letters) == len(chunk) else ids + self.words[chunk[len(letters) :]]
         return self.whole(space + chunk)
 
     def _later(self, chunk: str) -> bytes | None:
         """Ids of a chunk after a space; None if it is next to more white space, so no place to cut."""
+        if chunk.isalpha():
+            return self._chunk(chunk, " ")
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             return None
         lines = chunk.split("\n")
@@ -105,26 +110,25 @@ class ChunkEncoder:
         return out
 
     def _dropping(self, text: str) -> bytes:
-        first = self.first
-        return b"".join([first[c] for c in text.replace("\n", " ").split(" ")])
+        return b"".join(map(self.first.__getitem__, text.replace("\n", " ").split(" ")))
 
     def _keeping(self, text: str) -> bytes:
         head, *rest = text.split(" ")
         if not rest:
             return self.whole(text)
         if head and not head[-1].isspace():
-            later = self.later
-            ids = [later[c] for c in rest]
-            if None not in ids:
-                return self.first[head] + b"".join(ids)
+            try:
+                return self.first[head] + b"".join(map(self.later.__getitem__, rest))
+            except TypeError:
+                pass  # a None: some chunk is next to more white space
         head, *rest = CUT.split(text)
         return self.whole(head) + b"".join([self._chunk(c, " ") for c in rest])
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, drops_space: bool, end_id: int = 2) -> ChunkEncoder:
+def encoder(path: str, drops_space: bool, end_id: int = 2, most_chunks: int = MOST_CHUNKS) -> ChunkEncoder:
     """One encoder for each Python worker, kept between its tasks."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return ChunkEncoder(path, drops_space, end_id)
+    return ChunkEncoder(path, drops_space, end_id, most_chunks)
