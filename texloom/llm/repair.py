@@ -28,7 +28,7 @@ BASE = 1 << 16
 TABLE_BITS = 20
 
 
-def compress(ids: np.ndarray, rounds: int = 5, most_rules: int = 4096, least_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, rounds: int = 3, most_rules: int = 4096, least_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (n x 2). Each round replaces up to ``most_rules`` of the most frequent pairs, left to right.
 
     Ends when no pair occurs ``least_count`` times. Ties of frequency go to the smaller pair.
@@ -126,19 +126,13 @@ class Block:
 
     def tokens(self) -> np.ndarray:
         """All ids of the block."""
-        table, sizes = _expanded(np.arange(BASE, BASE + len(self.rules)), self.rules), self.lengths.astype(np.int64)
-        offset = np.cumsum(sizes) - sizes
-        seq = self.seq.astype(np.int64)
-        many = seq >= BASE
-        size = np.ones(len(seq), np.int64)
-        size[many] = sizes[seq[many] - BASE]
-        to = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), "<u4")
-        out[to[~many]] = seq[~many]
-        size, to, begin = size[many], to[many], offset[seq[many] - BASE]
-        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(to, size) + step] = table[np.repeat(begin, size) + step]
-        return out
+        # One table for all symbols: terminals stand for themselves, rules for their expansions.
+        table = np.concatenate((np.arange(BASE), _expanded(np.arange(BASE, BASE + len(self.rules)), self.rules))).astype("<u4")
+        sizes = np.concatenate((np.ones(BASE, np.int32), self.lengths.astype(np.int32)))
+        begin = (np.cumsum(sizes) - sizes).astype(np.int32)
+        size = sizes[self.seq]
+        to = (np.cumsum(size) - size).astype(np.int32)
+        return table[np.repeat(begin[self.seq] - to, size) + np.arange(self.n_tokens, dtype=np.int32)]
 
     def document(self, k: int) -> np.ndarray:
         """Ids of the k-th document, from the symbols that cover it."""
