@@ -81,6 +81,19 @@ def test_repair_compresses():
     assert block.doc_ids == [7, None] and block.document(1).tolist() == [0, 1, 2] and block.document(0).tolist() == ids.tolist()
 
 
+def test_repair_goes_on_until_no_pair_is_frequent():
+    r = np.random.default_rng(3)
+    passage = r.integers(0, 5000, 100)
+    for ids in (np.tile(passage, 300), np.zeros(9000, int), np.concatenate([np.append(passage, r.integers(0, 5000, 3)) for _ in range(200)])):
+        ids = ids.astype("<u4")
+        seq, rules = repair.compress(ids)
+        pairs = collections.Counter(zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True))
+        assert max(pairs.values(), default=0) < 8 and repair.rule_lengths(rules).max() > 60 and len(seq) < len(ids) / 20
+        parts = np.split(ids, [5, 5, 2000])
+        block = repair.Block(repair.write_block(list(range(4)), [p.tobytes() for p in parts]))
+        assert block.tokens().tolist() == ids.tolist() and all(block.document(k).tolist() == p.tolist() for k, p in enumerate(parts))
+
+
 def test_token_files(docs, nothing):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     got = repair.read_token_files(repair.write_token_files(docs, BYTE, block_tokens=3000, partitions=3)).collect()

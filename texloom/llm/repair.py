@@ -25,25 +25,26 @@ from texloom.llm.tokens import encoder
 MAGIC = b"TXRP0001"
 #: Nonterminals are numbered from here; ids of terminals are smaller.
 BASE = 1 << 16
+#: Two symbols make one 64-bit code.
+SYMBOL_BITS = 31
 TABLE_BITS = 20
 
 
-def compress(ids: np.ndarray, rounds: int = 3, most_rules: int = 4096, least_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, most_rules: int = 4096, least_count: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (n x 2). Each round replaces up to ``most_rules`` of the most frequent pairs, left to right.
 
-    Ends when no pair occurs ``least_count`` times. Ties of frequency go to the smaller pair.
+    Ends when no pair occurs ``least_count`` times, after however many rounds. Ties of frequency go to the smaller pair.
     """
     seq, rules = ids.astype(np.int64), []
     top = BASE
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        code = (seq[:-1] << 21) | seq[1:]
+    # Each round shortens the sequence, so there are fewer rules than ids.
+    while len(seq) > 1:
+        code = (seq[:-1] << SYMBOL_BITS) | seq[1:]
         ordered = np.sort(code)
         edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= least_count)
-        if not len(often) or top + most_rules >= 1 << 21:
+        if not len(often):
             break
         often = often[np.argsort(-counts[often], kind="stable")[:most_rules]]
         chosen = ordered[edges[often]]
@@ -60,7 +61,7 @@ def compress(ids: np.ndarray, rounds: int = 3, most_rules: int = 4096, least_cou
         at = at[(np.arange(len(at)) - first) % 2 == 0]
         used, number = np.unique(rule[at] - 1, return_inverse=True)
         pairs = chosen[used]
-        rules.append(np.stack([pairs >> 21, pairs & ((1 << 21) - 1)], axis=1))
+        rules.append(np.stack([pairs >> SYMBOL_BITS, pairs & ((1 << SYMBOL_BITS) - 1)], axis=1))
         seq[at] = top + number
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -69,16 +70,21 @@ def compress(ids: np.ndarray, rounds: int = 3, most_rules: int = 4096, least_cou
     return seq.astype("<u4"), (np.concatenate(rules) if rules else np.zeros((0, 2))).astype("<u4")
 
 
+def _opened(seq: np.ndarray, many: np.ndarray, rules: np.ndarray) -> np.ndarray:
+    """Symbols with those marked replaced by the two of their rules."""
+    size = 1 + many
+    to = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.int64)
+    out[to] = np.where(many, 0, seq)
+    pair = rules[seq[many] - BASE]
+    out[to[many]], out[to[many] + 1] = pair[:, 0], pair[:, 1]
+    return out
+
+
 def _expanded(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
     seq = seq.astype(np.int64)
     while (many := seq >= BASE).any():
-        size = 1 + many
-        to = np.cumsum(size) - size
-        out = np.empty(int(size.sum()), np.int64)
-        out[to] = np.where(many, 0, seq)
-        pair = rules[seq[many] - BASE]
-        out[to[many]], out[to[many] + 1] = pair[:, 0], pair[:, 1]
-        seq = out
+        seq = _opened(seq, many, rules)
     return seq
 
 
@@ -126,9 +132,12 @@ class Block:
 
     def tokens(self) -> np.ndarray:
         """All ids of the block."""
-        # One table for all symbols: terminals stand for themselves, rules for their expansions.
-        table = np.concatenate((np.arange(BASE), _expanded(np.arange(BASE, BASE + len(self.rules)), self.rules))).astype("<u4")
-        sizes = np.concatenate((np.ones(BASE, np.int32), self.lengths.astype(np.int32)))
+        # One table: terminals stand for themselves, rules among the symbols for their expansions (no more ids than the block's).
+        used = np.unique(self.seq[self.seq >= BASE]).astype(np.int64)
+        table = np.concatenate((np.arange(BASE), _expanded(used, self.rules))).astype("<u4")
+        sizes = np.zeros(BASE + len(self.rules), np.int32)
+        sizes[:BASE] = 1
+        sizes[used] = self.lengths[used - BASE]
         begin = (np.cumsum(sizes) - sizes).astype(np.int32)
         size = sizes[self.seq]
         to = (np.cumsum(size) - size).astype(np.int32)
@@ -138,13 +147,22 @@ class Block:
         """Ids of the k-th document, from the symbols that cover it."""
         lo, hi = int(self.starts[k]), int(self.starts[k + 1])
         if self.ends is None:
-            seq = self.seq.astype(np.int64)
-            self.ends = np.cumsum(np.where(seq < BASE, 1, self.lengths[np.maximum(seq - BASE, 0)] if len(self.lengths) else 1), dtype=np.int64)
+            self.ends = np.cumsum(self._sizes(self.seq.astype(np.int64)), dtype=np.int64)
         if lo == hi:
             return np.zeros(0, "<u4")
-        a, b = np.searchsorted(self.ends, lo, "right"), np.searchsorted(self.ends, hi, "left")
-        before = int(self.ends[a - 1]) if a else 0
-        return _expanded(self.seq[a : b + 1], self.rules)[lo - before : hi - before].astype("<u4")
+        seq, ends = self.seq.astype(np.int64), self.ends
+        # A symbol may expand to far more than the document; parts outside it are not opened.
+        while True:
+            a, b = np.searchsorted(ends, lo, "right"), np.searchsorted(ends, hi, "left")
+            before = int(ends[a - 1]) if a else 0
+            seq, lo, hi = seq[a : b + 1], lo - before, hi - before
+            if not (many := seq >= BASE).any():
+                return seq.astype("<u4")
+            seq = _opened(seq, many, self.rules)
+            ends = np.cumsum(self._sizes(seq), dtype=np.int64)
+
+    def _sizes(self, seq: np.ndarray) -> np.ndarray:
+        return np.where(seq < BASE, 1, self.lengths[np.maximum(seq - BASE, 0)] if len(self.lengths) else 1)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 20, partitions: int | None = None) -> DataFrame:
