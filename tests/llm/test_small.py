@@ -347,6 +347,26 @@ def test_permutation_index(spark):
     assert permutations.nearest(few, few).count() == 20 and permutations.nearest(df.where("false"), df).count() == 0
 
 
+@pytest.mark.parametrize("lengths", [False, True])
+def test_permutation_index_with_many_alike(spark, lengths):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(6000, 16))
+    alike = r.permutation(6000)[:2000]
+    x[alike] = x[alike[0]] * (r.uniform(1, 3, size=(2000, 1)) if lengths else 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for row in permutations.nearest(df, df.where("vec_id % 40 = 0")).collect():
+        got[row["query_id"]].append(row["id"])
+    hits = {True: [], False: []}
+    for q in range(0, 6000, 40):
+        exact = np.zeros(6000)
+        for d in range(16):
+            exact += x[:, d] * x[q, d]
+        want = [i for i in np.lexsort((np.arange(6000), -exact)).tolist() if i != q][:20]
+        hits[q in set(alike.tolist())].append(len(set(want) & set(got[q])) / 20)
+    assert np.mean(hits[True]) == 1 and np.mean(hits[False]) >= 0.9
+
+
 # 10
 
 

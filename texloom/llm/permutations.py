@@ -2,10 +2,10 @@
 
 A vector is represented by its nearest pivots in order. Each segment of the index (a bounded
 number of vectors, whole in one row) has pivot inverted files: for a pivot, the vectors that name it
-and at which rank. A block of queries meets each segment once: the posting lists of a query's
-pivots add up the footrule distance to every vector that shares a pivot, the nearest of
-them by footrule are reranked by exact inner product, and a last step keeps the best of all
-segments. Queries and segments meet by an equi-join on the block's number.
+and at which rank. Vectors of one direction have one permutation and are indexed once. A block of queries meets
+each segment once: the posting lists of a query's pivots add up the footrule distance to every direction that
+shares a pivot, all vectors of the nearest directions by footrule are reranked by exact inner product, and a last
+step keeps the best of all segments. Queries and segments meet by an equi-join on the block's number.
 """
 
 from __future__ import annotations
@@ -22,8 +22,12 @@ from texloom.llm.common import stage
 
 PIVOTS, LENGTH = 512, 128
 SEGMENT, BLOCK = 8192, 256
-#: Candidates of a segment that are reranked: at least LEAST, at most this share of it.
+#: Directions of a segment whose vectors are reranked: LEAST or this share of its vectors, and those tied with the last.
 LEAST, SHARE = 400, 0.1
+#: Unit vectors equal to so many decimals are one direction.
+DECIMALS = 9
+#: So many times the wanted pivots are looked at for different directions.
+LOOKED_AT = 8
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -44,49 +48,67 @@ def permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     return np.take_along_axis(first, order, axis=1)
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each distinct direction the first row; of each row the number of its direction."""
+    unit = np.round(x / np.sqrt((x * x).sum(axis=1, keepdims=True)), DECIMALS) + 0.0
+    whole = unit.view(np.dtype((np.void, unit.itemsize * unit.shape[1]))).ravel()
+    _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+    return first, number.ravel()
+
+
 class Segment:
     """Vectors with pivot inverted files."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, length: int = LENGTH) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.pivots, self.length = ids[order], x[order], pivots, length
-        perm = permutations(self.x, pivots, length)
+        first, number = directions(self.x)
+        self.rows = np.argsort(number, kind="stable")
+        self.sizes = np.bincount(number, minlength=len(first))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        perm = permutations(self.x[first], pivots, length)
         flat = perm.ravel()
         by_pivot = np.argsort(flat, kind="stable")
         self.bounds = np.searchsorted(flat[by_pivot], np.arange(len(pivots) + 1))
         self.members = (by_pivot // perm.shape[1]).astype(np.int64)
-        self.ranks = (by_pivot % perm.shape[1]).astype(np.int32)
+        self.above = (length - by_pivot % perm.shape[1]).astype(np.int32)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, float]]:
         """(query, id, score) of the k best reranked candidates of each query, its own row left out."""
-        n, m = len(self.ids), self.length
-        most = min(n, max(LEAST, int(SHARE * n)))
+        n, m = len(self.sizes), self.length
+        most = min(n, max(LEAST, int(SHARE * len(self.ids))))
         out = []
         for qid, q, perm in zip(query_ids.tolist(), queries, permutations(queries, self.pivots, m), strict=True):
-            # Footrule with missing pivots at rank m: shared pivots lower it by 2m - rank - rank' - |difference|.
+            # Footrule with missing pivots at rank m: shared pivots lower it by twice the smaller of m - rank and m - rank'.
             saved = np.zeros(n, np.int32)
             for r, p in enumerate(perm):
                 a, b = self.bounds[p], self.bounds[p + 1]
-                ranks = self.ranks[a:b]
-                saved[self.members[a:b]] += 2 * m - r - ranks - np.abs(ranks - r)
-            near = np.argpartition(-saved, most - 1)[:most] if most < n else np.arange(n)
+                saved[self.members[a:b]] += np.minimum(self.above[a:b], m - r)
+            held = np.flatnonzero(saved >= np.partition(saved, n - most)[n - most])
+            sizes = self.sizes[held]
+            ends = np.cumsum(sizes)
+            near = self.rows[np.repeat(self.begins[held] - (ends - sizes), sizes) + np.arange(ends[-1])]
             near = near[self.ids[near] != qid]
             if not len(near):
                 continue
             # Summed in order of components, so that a score is the same on any machine.
             exact = np.zeros(len(near))
-            for d in range(len(q)):
-                exact += self.x[near, d] * q[d]
+            for column, value in zip(np.ascontiguousarray(self.x[near].T), q, strict=True):
+                exact += column * value
             best = np.lexsort((self.ids[near], -exact))[:k]
             out += [(qid, int(self.ids[near[b]]), float(exact[b])) for b in best]
         return out
 
 
 def choose_pivots(rows: DataFrame, n: int) -> np.ndarray:
-    """At most ``n`` vectors, the first by a hash of the id (a bounded, documented sample), at unit length."""
-    found = rows.orderBy(F.xxhash64("id"), "id").limit(n).collect()
-    x = np.array([r["v"] for r in sorted(found, key=lambda r: r["id"])], np.float64).reshape(len(found), -1)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True)) if len(found) else x
+    """At most ``n`` vectors of different directions, the first by a hash of the id (a bounded, documented sample), at unit length."""
+    found = rows.orderBy(F.xxhash64("id"), "id").limit(LOOKED_AT * n).collect()
+    x = np.array([r["v"] for r in found], np.float64).reshape(len(found), -1)
+    if not len(found):
+        return x
+    first = np.sort(directions(x)[0])[:n]
+    x = x[sorted(first.tolist(), key=lambda i: found[i]["id"])]
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def _packed(rows: DataFrame, group: str, name: str) -> DataFrame:
