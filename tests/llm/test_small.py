@@ -150,6 +150,12 @@ def test_pii(spark, docs):
     assert pii.find_pii(docs).count() == docs.count()
 
 
+def test_keys_with_lone_digits_are_found():
+    w, key = pii.trained(), "QWERTYUIOPAS7DFG2HJK"
+    for text in (f"plain words api_key={key} and more", f"set api_key={key}; call +1 (269) 555-3296 now", f"pay 4524132264652876 with secret: {key} ok"):
+        assert key in {text[a:b] for k, a, b in pii.added_spans(text, pii.base_spans(text), w) if pii.KINDS[k] == "secret"}
+
+
 # 4
 
 

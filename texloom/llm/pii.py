@@ -79,6 +79,7 @@ LEFT, RIGHT = 32, 48
 TOKEN = re.compile(r"\w+|\s+|.", re.ASCII | re.DOTALL)
 DIGITS = re.compile(r"[0-9]+")
 LONG = re.compile(r"\w{16}", re.ASCII)
+LONG_TOKEN = re.compile(r"\w{16,}", re.ASCII)
 KEYWORDS = re.compile(r"(?i)(password|passwd|pwd|token|secret|api[_-]?key|key|bearer)\W*$")
 NUMBERED = re.compile(r"(?i)(version|v\.?|no\.?|page|chapter|license|isbn|id|order)\W*$")
 CALLED = re.compile(r"(?i)(call|tel|phone|mobile|fax|contact)\W*$")
@@ -296,7 +297,8 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
         part = text[lo:hi]
         if sum(map(len, DIGITS.findall(part))) < 4 and not LONG.search(part):
             continue
-        if all(any(a <= lo + m.start() < b for _, a, b in base) for m in DIGITS.finditer(part) if len(m[0]) > 2):
+        # Nothing is left for the field where base spans hold every digit and every long token.
+        if all(any(a <= lo + m.start() and lo + m.end() <= b for _, a, b in base) for p in (DIGITS, LONG_TOKEN) for m in p.finditer(part)):
             continue
         for k, a, b in decode(part, weights):
             if not any(a + lo < y and x < b + lo for _, x, y in base):
