@@ -329,6 +329,14 @@ def test_neighbours(spark, docs, nothing):
     assert {r["score"] for r in neighbours.score(docs, neighbours.fit(nothing, labels)).collect()} == {0.5}
 
 
+def test_commonest_word_of_the_whole_text():
+    form = lambda t: neighbours.term_counts([t])[0, -neighbours.BINS :]
+    opening, other = b"it was late when all of them came ", b" ".join(b"w%d" % k for k in range(2000))
+    assert neighbours.FORM[-1] == "commonest"
+    assert form(opening + b"again " * 2000).argmax() == neighbours.BINS - 1 and form(opening + other).argmax() == 0
+    assert (form(opening + b"again " * 300 + other) == form(b"again " * 300 + opening + other)).all()
+
+
 # 9
 
 

@@ -8,6 +8,7 @@ cosines with all of them come from one matrix product per block of documents.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,11 +45,11 @@ def term_counts(texts: list[bytes]) -> np.ndarray:
             pairs = np.log1p(np.bincount(slot[at : at + n - 1], minlength=PAIRS)) if n > 1 else np.zeros(PAIRS)
             out[i, :PAIRS] = pairs / max(1e-9, np.sqrt((pairs * pairs).sum()))
             lines = [x for x in t.split(b"\n") if x.strip()]
-            kinds = set(words)
+            kinds = Counter(words)
             form = (
                 # In a long text words recur more, so distinct words are set against a root of all.
                 min(1.0, len(kinds) / len(words) ** 0.75 / 1.6), len(set(lines)) / len(lines), min(1.0, sum(map(len, words)) / len(words) / 16), min(1.0, np.log2(len(words)) / 15),
-                min(1.0, 4 * max(map(words.count, words[:8])) / (len(words) + 16)),
+                min(1.0, 4 * max(kinds.values()) / (len(words) + 16)),
             )
             for f, v in enumerate(form):
                 x = v * (BINS - 1)
