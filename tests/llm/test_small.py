@@ -156,6 +156,16 @@ def test_keys_with_lone_digits_are_found():
         assert key in {text[a:b] for k, a, b in pii.added_spans(text, pii.base_spans(text), w) if pii.KINDS[k] == "secret"}
 
 
+def test_long_lists_are_not_cut():
+    w = pii.trained()
+    text = "\n".join(f"({200 + k % 700}) {555 - k % 7}-{1000 + k}" for k in range(1500))
+    lines, at = set(), 0
+    for line in text.split("\n"):
+        lines.add((at, at + len(line)))
+        at += len(line) + 1
+    assert {(a, b) for _, a, b in pii.added_spans(text, [], w)} == lines
+
+
 # 4
 
 

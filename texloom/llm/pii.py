@@ -118,14 +118,12 @@ def span_features(text: str, lo: int, hi: int, tokens: int) -> list[int]:
     return [INDEX[f] for f in (*on, *[f for f, v in flags.items() if v])]
 
 
-def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[int]]]]:
-    """Tokens of a region and its candidate segments (first token, end token, start, end, features).
+def candidates(text: str, tokens: list[tuple[int, int]]) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """Candidate segments of a region, by first token: first token, end token, start, end, features.
 
     A candidate starts and ends on no white space and has four digits at least, or is one
     long token with a digit, or has an @ and a dot.
     """
-    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
-    out = []
     for i, (lo, _) in enumerate(tokens):
         if text[lo].isspace():
             continue
@@ -137,15 +135,22 @@ def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[int]]]
                 continue
             s = text[lo:hi]
             if (n := sum(map(len, DIGITS.findall(s)))) >= 4 or (n and j == i and hi - lo >= 16) or ("@" in s and "." in s):
-                out.append((i, j + 1, lo, hi, span_features(text, lo, hi, j + 1 - i)))
-    return len(tokens), out
+                yield i, j + 1, lo, hi, span_features(text, lo, hi, j + 1 - i)
+
+
+def segments(text: str) -> tuple[int, list[tuple[int, int, int, int, list[int]]]]:
+    """The number of tokens of a region and its candidate segments."""
+    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    return len(tokens), list(candidates(text, tokens))
 
 
 def decode(text: str, weights: np.ndarray) -> list[Span]:
     """The best segmentation of a region; ties keep fewer and earlier spans."""
-    n, found = segments(text)
+    tokens = [(m.start(), m.end()) for m in TOKEN.finditer(text)]
+    n = len(tokens)
     by_end: dict[int, list] = {}
-    for i, j, lo, hi, on in found:
+    # One by one: a region may be a whole long text.
+    for i, j, lo, hi, on in candidates(text, tokens):
         scores = weights[:, on].sum(axis=1)
         k = int(scores.argmax())
         if scores[k] > 0:
@@ -269,18 +274,16 @@ def trained(seed: int = 7, n: int = 500, epochs: int = 10, rate: float = 0.5, de
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Places around digits that may hold a span: from white space before to white space after, joined when near."""
+    """Places around digits that may hold a span, joined when near: between two of them is no digit for LEFT + RIGHT characters, as many as a candidate has."""
     lo = hi = -1
     for m in DIGITS.finditer(text):
-        if m.start() < hi:
-            continue
         a, b = max(0, m.start() - LEFT), min(len(text), m.end() + RIGHT)
-        if a <= hi and b - lo <= 2048:
+        if a <= hi:
             hi = b
         else:
             if hi >= 0:
                 yield lo, hi
-            lo, hi = a if a > hi else hi, b
+            lo, hi = a, b
     if hi >= 0:
         yield lo, hi
 
@@ -290,9 +293,10 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     out = []
     for lo, hi in regions(text):
         # Whole words only: neither end cuts one.
-        while lo > 0 and not text[lo - 1].isspace() and text[lo - 1].isalnum() and lo > hi - 4096:
+        first, last = lo - 2048, hi + 2048
+        while lo > 0 and not text[lo - 1].isspace() and text[lo - 1].isalnum() and lo > first:
             lo -= 1
-        while hi < len(text) and text[hi].isalnum() and hi < lo + 4096:
+        while hi < len(text) and text[hi].isalnum() and hi < last:
             hi += 1
         part = text[lo:hi]
         if sum(map(len, DIGITS.findall(part))) < 4 and not LONG.search(part):
