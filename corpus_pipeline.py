@@ -25,14 +25,26 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the least id. Rows without an id stay."""
-    found = stage(set_join.join_sets(docs), "components")
-    gone = stage(found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
+    """One document of each group stays, the one of the least id. Rows without an id stay.
+
+    Where one id has several texts, each row is judged by its own text's group.
+    """
+    found = stage(set_join.join_sets(docs, with_sets=True).withColumn("gone", F.col("doc_id") != F.col("component_id")), "components")
+    gone = found.where("gone").select("doc_id").distinct()
+    counted = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("gone").alias("n_gone"))
+    twice = stage(counted.where(F.col("n") > 1), "repeated_ids")
+    repeated = bool(twice.head(1))
+    mixed = twice.where((F.col("n_gone") > 0) & (F.col("n_gone") < F.col("n"))).select("doc_id")
+    gone = stage(gone.join(mixed, "doc_id", "left_anti") if repeated else gone, "dropped")
     few = gone.count() <= MOST_BROADCAST
     left = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    twice = stage(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & F.col("doc_id").isNotNull()).select("doc_id"), "repeated_ids")
-    if not twice.head(1):
+    if not repeated:
         return left
+    twice = twice.select("doc_id")
+    if mixed.head(1):
+        sets = found.where("gone").join(mixed, "doc_id", "left_semi").select("doc_id", F.col("set").alias("__set")).distinct()
+        judged = left.join(mixed, "doc_id", "left_semi").withColumn("__set", set_join.set_of(F.col("text")))
+        left = left.join(mixed, "doc_id", "left_anti").unionByName(judged.join(sets, ["doc_id", "__set"], "left_anti").select(left.columns))
     again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return left.join(twice, "doc_id", "left_anti").unionByName(again)
 

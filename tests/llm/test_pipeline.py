@@ -60,3 +60,12 @@ def test_mix_and_pack(stages):
 
 def test_run(spark, stages):
     assert c.run(spark, SF).count() == stages[-1].count()
+
+
+def test_an_id_on_two_texts(spark):
+    alone, copied = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(5, alone), (5, copied), (3, copied), (7, alone + " tail"), (8, copied), (9, "one other text of six words"), (9, "one other text of six words"), (None, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = c.drop_near_copies(spark, docs, SF)
+    assert left.columns == docs.columns
+    assert sorted(map(str, left.collect())) == sorted(map(str, spark.createDataFrame([(5, alone), (3, copied), (9, rows[5][1]), (None, copied)], docs.schema).collect()))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -493,8 +494,18 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, most_broadcast:
     return rows.mapInArrow(compare, "a long, b long")
 
 
-def join_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def set_of(text: Column) -> Column:
+    """The handle of a text's set."""
+
+    @F.pandas_udf("long")
+    def handle(texts: pd.Series) -> pd.Series:
+        return pd.Series([fingerprint(shingle_sets([(t or "").encode("utf-8", "replace")])[0])[0] for t in texts], dtype="int64")
+
+    return handle(text.cast("string"))
+
+
+def join_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_sets: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row; ``with_sets`` adds set, the handle of the row's set.
 
     Texts without words are linked with nothing and are their own component. A null text is empty.
     Repeated rows share a set. Rows without an id belong to their equal texts' component, but texts
@@ -523,7 +534,8 @@ def join_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if more.head(1):
             links = links.unionByName(more)
             roots = components(links)
-    return _labelled(rows, heads, roots)
+    found = _labelled(rows, heads, roots)
+    return found if with_sets else found.drop("set")
 
 
 def _labelled(rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
@@ -531,6 +543,6 @@ def _labelled(rows: DataFrame, heads: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = stage(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("head").alias("component"))
     by_class = rooted.join(least, "root").select("f1", "component")
-    out = rows.where(F.col("n") > 0).join(by_class, "f1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    out = rows.where(F.col("n") > 0).join(by_class, "f1", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("f1").alias("set"))
     alone: Column = F.col("doc_id")
-    return out.unionByName(rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id")))
+    return out.unionByName(rows.where(F.col("n") == 0).select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.col("f1").alias("set")))
