@@ -52,6 +52,13 @@ def test_unclosed_markup():
         assert pages.Page(source).text(None) == text
 
 
+def test_short_parts_of_an_article_stay():
+    long, short = " ".join(["word"] * 200), " ".join(["brief"] * 20)
+    page = pages.Page(f'<article><section class="part"><p>{long}</section><section class="part"><p>{short}</section><section class="part ad"><p>Buy</section></article>')
+    (path, _), *_ = page.votes()
+    assert path == "article>section.part" and page.text(path) == f"{long} {short}"
+
+
 # 2
 
 

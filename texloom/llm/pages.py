@@ -188,9 +188,6 @@ class Page:
         if path:
             last = path.rpartition(">")[2]
             roots = {e for e in range(1, len(self.tags)) if self.parts[e] == last and not self.off[e] and self.path(e) == path}
-            if roots:
-                best = max(self.score[e] for e in roots)
-                roots = {e for e in roots if self.score[e] >= 0.25 * best}
         if not roots:
             ranked = [e for e in range(1, len(self.tags)) if self.score[e] > 0]
             roots = {max(ranked, key=lambda e: (self.score[e], -e))} if ranked else {0}
