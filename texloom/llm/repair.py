@@ -34,7 +34,10 @@ def compress(ids: np.ndarray, most_rules: int = 4096, least_count: int = 8) -> t
     """Symbols and rules (n x 2). Each round replaces up to ``most_rules`` of the most frequent pairs, left to right.
 
     Ends when no pair occurs ``least_count`` times, after however many rounds. Ties of frequency go to the smaller pair.
+    Ids of BASE or more are refused, as they would be taken for rules.
     """
+    if len(ids) and int(ids.max()) >= BASE:
+        raise ValueError(f"id {int(ids.max())} is not below {BASE}")
     seq, rules = ids.astype(np.int64), []
     top = BASE
     # Each round shortens the sequence, so there are fewer rules than ids.

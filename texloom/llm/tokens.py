@@ -52,7 +52,7 @@ class Chunks(dict):
 
 
 class ChunkEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, ``end_id`` appended.
+    """Ids of texts as little-endian unsigned 32-bit bytes, ``end_id`` appended. Added tokens that stand in a text get their own ids.
 
     ``drops_space``: the tokenizer lowers letters and ignores all white space (word_bpe);
     otherwise a chunk keeps the space before it (byte-level). Null counts as empty.
@@ -62,6 +62,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The library takes added tokens out of the raw text first; here encode() does, so chunks need not look for them.
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokenizer.encode_special_tokens = True
         self.split_words = self.tokenizer.model.tokenize
         self.alphabet = byte_alphabet()
@@ -106,7 +109,10 @@ class ChunkEncoder:
         for t in texts:
             for known in (self.words, self.first, self.later):
                 known.trim()
-            out.append(one(t or "") + self.end)
+            if t and any(x in t for x in self.added):
+                out.append(b"".join([self.added[x] if k % 2 else one(x) for k, x in enumerate(self.marks.split(t)) if x]) + self.end)
+            else:
+                out.append(one(t or "") + self.end)
         return out
 
     def _dropping(self, text: str) -> bytes:
