@@ -92,9 +92,13 @@ class Space:
 
 def learn(texts: list[str | None], labels: list[int]) -> Space:
     """Latent semantic analysis by a seeded randomised decomposition of the sample's term matrix."""
+    return learn_terms(term_counts([(t or "").encode("utf-8", "replace") for t in texts]), labels)
+
+
+def learn_terms(x: np.ndarray, labels: list[int]) -> Space:
+    """The same from rows of term weights."""
     y = np.array(labels, np.float64)
     prior = float(y.mean()) if len(y) else 0.5
-    x = term_counts([(t or "").encode("utf-8", "replace") for t in texts])
     df = (x > 0).sum(axis=0)
     weight = (1 + np.log((1 + len(x)) / (1 + df))).astype(np.float32)
     x = x * weight
@@ -114,11 +118,30 @@ def learn(texts: list[str | None], labels: list[int]) -> Space:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> Space:
-    """A space from at most ``max_labelled`` labelled rows outside fold 0 (a documented bound), in order of id."""
+    """A space from at most ``max_labelled`` labelled rows outside fold 0 (a documented bound), in order of id.
+
+    Of an id's texts the first by code point counts. The driver gets term weights, at most TERMS numbers a row, no texts.
+    """
     sample = labelled_sample(labels, max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__raw")).join(F.broadcast(sample), "__id").collect()
-    rows.sort(key=lambda r: (r["__id"], r["__raw"] or ""))
-    return learn([r["__raw"] for r in rows], [r["__label"] for r in rows])
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__raw")).join(F.broadcast(sample), "__id")
+    rows = rows.groupBy("__id", "__label").agg(F.min("__raw").alias("__raw"))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                x = term_counts([(t or "").encode("utf-8", "replace") for t in part.column(2).to_pylist()])
+                at = [np.flatnonzero(r) for r in x]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([a.astype("<u2").tobytes() for a in at], pa.binary()), pa.array([r[a].astype("<f4").tobytes() for r, a in zip(x, at, strict=True)], pa.binary())],
+                    names=["id", "label", "at", "weights"],
+                )
+
+    found = sorted(rows.mapInArrow(weigh, "id long, label int, at binary, weights binary").collect(), key=lambda r: r["id"])
+    x = np.zeros((len(found), TERMS), np.float32)
+    for row, r in zip(x, found, strict=True):
+        row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["weights"], "<f4")
+    return learn_terms(x, [r["label"] for r in found])
 
 
 def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

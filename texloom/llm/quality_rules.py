@@ -192,9 +192,10 @@ def learn_rules(
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4000) -> list[Rule]:
-    """Learn a list from at most ``max_labelled`` labelled rows (a documented bound)."""
+    """Learn a list from at most ``max_labelled`` labelled rows (a documented bound); of an id's texts the first by code point."""
     sample = labelled_sample(labels, max_labelled)
     chosen = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").alias("__raw")).join(F.broadcast(sample), "__id")
+    chosen = chosen.groupBy("__id", "__label").agg(F.min("__raw").alias("__raw"))
     got = text_statistics(chosen, "__id", "__raw", keep=("__label",)).collect()
     got.sort(key=lambda r: (r["__id"], r["n_words"], r["word_chars"]))
     rows = [r.asDict() for r in got]
