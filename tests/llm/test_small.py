@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -21,7 +22,6 @@ BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pat
 
 def all_ids(path, texts):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [np.array([*e.ids, 2], "<u4") for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -52,6 +52,31 @@ def test_unclosed_markup():
         assert pages.Page(source).text(None) == text
 
 
+@pytest.mark.parametrize("source, text", [
+    ('<article><p>one</p><svg width="1"/><p>two</p></article>', "one two"), ("<article><p>one</p><iframe src=x/><p>two</p></article>", "one two"), ("<article><p>one</p><iframe src=x><p>two</p></article>", "one two"),
+    ("<article><p>one</p><select><option>x</select><noscript><p>no</p></noscript><p>two</article>", "one two"), ("<p>a <button>b</button>c", "a c"), ("<p>x <a title=it's>y</a> z", "x y z"), ("<p>1 < 2 <!-- no --> 3<script>zz", "1 < 2 3"),
+    ('<p title="a>b" class="x">in</p>', "in"), ("<title>t<p>out", "tout"), ("<textarea>no</textarea><p>out", "out"), ("<article><p>one</p><select><option>o<p>two</p></article><div><select><option>z</select></div>", "one o two"),
+])
+def test_elements_that_are_not_text(source, text):
+    got = pages.Page(source).text(None)
+    assert got.replace(" ", "") == text.replace(" ", "")
+
+
+@pytest.mark.parametrize("piece", ["<a", '<a ="', "<b>", "<div>", "<title>", "<!--", "<p>x", "<svg>", "<a href='", "<ul><p>x", "</i><b>", "<select><p>y", "<", "<a b=c>x", "&#", "<li>"])
+def test_pages_take_linear_time(piece):
+    began = time.time()
+    pages.Page(piece * 50_000).text("body>div")
+    assert time.time() - began < 20
+
+
+def test_many_hosts_and_odd_columns(spark):
+    long = "".join(f"<div class=c{chr(97 + k % 26)}q{chr(97 + k // 26)}>" for k in range(300))
+    rows = [(k, f"https://h{k % 7}.example/{k}", PAGE.replace("{n}", str(k)), "x", "y") for k in range(40)] + [(50, "https://deep.example/", long + "<p>deep down</p>", None, None), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, host string")
+    sorted_rows = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert sorted_rows(pages.extract(df)) == sorted_rows(pages.extract(df, most_broadcast=2))
+
+
 def test_short_parts_of_an_article_stay():
     long, short = " ".join(["word"] * 200), " ".join(["brief"] * 20)
     page = pages.Page(f'<article><section class="part"><p>{long}</section><section class="part"><p>{short}</section><section class="part ad"><p>Buy</section></article>')
@@ -101,6 +126,17 @@ def test_repair_goes_on_until_no_pair_is_frequent():
         assert block.tokens().tolist() == ids.tolist() and all(block.document(k).tolist() == p.tolist() for k, p in enumerate(parts))
 
 
+@pytest.mark.parametrize("path, drops", [(BYTE, False), (WORDS, True)])
+def test_added_tokens_get_their_ids(path, drops):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y ", "<|startoftext|>a<|endoftext|>", "<|ENDOFTEXT|> <|endof", "a\n<|endoftext|>\nb c", "|<|endoftext|>|>"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ChunkEncoder(path, drops).encode(texts)] == [x.tolist() for x in all_ids(path, texts)]
+
+
+def test_large_ids_are_refused():
+    with pytest.raises(ValueError):
+        repair.compress(np.array([1, repair.BASE], "<u4"))
+
+
 def test_token_files(docs, nothing):
     rows = sorted(rows_of(docs), key=lambda r: (r[0] is not None, r[0] or 0))
     got = repair.read_token_files(repair.write_token_files(docs, BYTE, block_tokens=3000, partitions=3)).collect()
@@ -329,9 +365,57 @@ def test_mixing(docs, nothing):
     assert mixing.mix(nothing).count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mix_takes_the_smallest_keys(spark):
+    """Against plain Python, with bins cut down to three rows; a third of a source is heavy in symbols."""
+    r = np.random.default_rng(1)
+    rows = [(k, ("### " * int(r.integers(1, 9)) if k % 3 else "word ") * int(r.integers(1, 30)), f"s{k % 4}" if k % 11 else None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = collections.defaultdict(list)
+    for k in mixing.sample_keys(df, "doc_id", "text", "source", mixing.SEED, 8).collect():
+        keys[k["source"]].append((k["key"], k["hash"], k["doc_id"], k["size"]))
+    got = {(x["source"], x["doc_id"]): (x["epochs"], x["target"], x["source_size"]) for x in mixing.mix(df, bins=8, edge_rows=3).collect()}
+    for source, ks in keys.items():
+        _, target, size = got[source, ks[0][2]]
+        rest = target - int(target // size) * size
+        at = 0
+        for _, _, doc, n in sorted(ks):
+            at += n
+            more = rest > 0 and (at <= rest or (at - n <= rest and 2 * (at - rest) < n))
+            assert got[source, doc][0] == int(target // size) + more
+
+
 # 8
 
 
+def plain_scores(space, texts):
+    out = []
+    for t in texts:
+        v = (neighbours.term_counts([t]) * space.weight) @ space.projection
+        cosine = (space.vectors @ (v[0] / np.sqrt((v[0] * v[0]).sum()))).astype(np.float64)
+        near = sorted(range(len(cosine)), key=lambda i: -cosine[i])[: neighbours.NEIGHBOURS]
+        w = [max(0.0, cosine[i]) ** neighbours.SHARPNESS for i in near]
+        out.append(sum(a * space.labels[i] for a, i in zip(w, near, strict=True)) / sum(w))
+    return out
+
+
+def test_votes_are_those_of_plain_search(spark):
+    r = np.random.default_rng(3)
+    vocabulary = ["".join(chr(97 + c) for c in r.integers(0, 26, 6)) for _ in range(80)]
+    texts = [" ".join(r.choice(vocabulary[:50] if k % 2 else vocabulary[30:], 30)) for k in range(200)]
+    space = neighbours.learn(texts[:150], [k % 2 for k in range(150)])
+    encoded = [t.encode() for t in texts]
+    assert np.allclose(space.scores(encoded), plain_scores(space, encoded), atol=1e-4)
+
+
+def test_one_text_of_each_labelled_id(spark):
+    rows = [(1, "b text of words here"), (1, "a text of words here"), (2, None), (2, "### !!!"), (3, "more words in it")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    df = spark.createDataFrame(rows * 3, "doc_id long, text string")
+    once = spark.createDataFrame([rows[1], rows[3], rows[4]], "doc_id long, text string")
+    texts = [t.encode() for _, t in rows if t]
+    assert np.allclose(neighbours.fit(df, labels).scores(texts), neighbours.fit(once, labels).scores(texts))
+
+
 def test_neighbours(spark, docs, nothing):
     good = [(k, f"plain words number {k} follow here and there, in a sentence." * 3) for k in range(60)]
     bad = [(100 + k, "### $$$ !!! " * (5 + k)) for k in range(60)]
@@ -378,6 +462,35 @@ def test_permutation_index(spark):
     assert permutations.nearest(few, few).count() == 20 and permutations.nearest(df.where("false"), df).count() == 0
 
 
+def test_uneven_lengths_and_clashing_columns(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(5000, 32)) * np.exp(0.7 * r.normal(size=(5000, 1)))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 1, 2.0, "c") for i, v in enumerate(x)], "vec_id long, embedding array<float>, id int, score double, cell string")
+    got = collections.defaultdict(set)
+    for row in permutations.nearest(df, df.where("vec_id % 50 = 0")).collect():
+        got[row["query_id"]].add(row["id"])
+    hits = []
+    for q in range(0, 5000, 50):
+        ip = x.astype(np.float64) @ x[q].astype(np.float64)
+        ip[q] = -np.inf
+        hits.append(len(got[q] & set(np.argsort(-ip, kind="stable")[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_repeated_ids_of_vectors(spark):
+    rows = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.9, 0.1]), (8, [1.0, 0.0]), (8, [1.0, 0.0]), (9, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["id"], r["score"]) for r in permutations.nearest(df, df.where("vec_id = 7"), k=2).collect()]
+    assert sorted(got) == [(7, 1, 8, 0.9), (7, 2, 8, 0.9)]
+
+
+def test_grid_grows_with_the_table():
+    assert permutations.grid(100, 5, 8) == (1, 1)
+    copies = [(lambda s, b: (n * b + n // 20 * s) / n)(*permutations.grid(n, n // 20, 64)) for n in (10**4, 10**5, 10**6)]
+    assert max(copies) < 6
+
+
 @pytest.mark.parametrize("lengths", [False, True])
 def test_permutation_index_with_many_alike(spark, lengths):
     r = np.random.default_rng(5)
