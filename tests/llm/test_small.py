@@ -328,6 +328,35 @@ def test_bitmaps_never_dismiss_a_link(x, y):
     assert set_join.most_shared(len(x), set_join.parity(a), len(y), set_join.parity(b)) >= len(x & y)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1), st.sets(st.integers(0, 60), min_size=1))
+def test_answers_derived_from_a_pivot_hold(p, x, y):
+    least, most = set_join.derived_bounds(len(x), np.array([len(y)]), len(p & x), np.array([len(p & y)]), len(p))
+    assert least[0] <= len(x & y) <= most[0]
+
+
+def test_derived_links_and_misses():
+    """x and y lie at two sides of a pivot: what the three share decides before any text is read."""
+    n, pivot, one = np.full(3, 100), np.full(3, 1), np.full(3, 100)
+    bits = [b"\0" * 32] * 3
+    h, root = np.array([1, 2, 3]), np.array([1, 2, 3])
+    near = set_join.cross_pairs(h, n, root, bits, pivot, one, np.array([100, 97, 97]), None, None)
+    far = set_join.cross_pairs(h, n, root, bits, pivot, one, np.array([100, 50, 97]), None, None)
+    unknown = set_join.cross_pairs(h, n, root, bits, pivot, one, np.array([-1, -1, -1]), None, None)
+    assert sorted(zip(*near)) == [(1, 2, True), (1, 3, True), (2, 3, True)]
+    assert sorted(zip(*far)) == [(1, 3, True)] and sorted(zip(*unknown)) == [(1, 2, False), (1, 3, False), (2, 3, False)]
+
+
+def test_rows_without_an_id_bridge_others(spark):
+    words = [f"w{k}" for k in range(100)]
+    texts = [words, [*words[:-9], *"abcdefghi"], [*words[:-9], *"abcdefghi"][9:] + [f"z{k}" for k in range(4)]]
+    rows = [(5, " ".join(texts[0])), (None, " ".join(texts[1])), (9, " ".join(texts[2])), (None, "lonely words that link with nothing here")]
+    want = brute_components([(k, t) for k, (_, t) in enumerate(rows)])
+    assert [c for _, c in want.values()] == [0, 0, 0, 3] and brute_components([(0, rows[0][1]), (2, rows[2][1])])[2][1] == 2
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in set_join.join_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 96): 5, (None, 96): 5, (9, want[2][0]): 5, (None, 3): None}
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (3, 1)] + [(100, k) for k in range(101, 400)]
     got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -10,11 +10,14 @@
    (index-level skipping). Lists of the same members are kept once.
 4. Before any text is sent for a pair, parity bitmaps of the two sets (2n to 4n bits each) bound
    their intersection from above; pairs that cannot be links go, without a false dismissal.
-5. Round one verifies each list's members against one pivot only. A set whose pivot's answer is known
-   takes it over: sets found linked are one component, and no pair inside a component is ever
-   verified again (answer-level skipping). The next rounds verify, for each component in a list, the few
-   pairs with other components whose bitmaps agree most; the last verifies all pairs that still
-   lie in different components and whose bitmaps allow a link, in bounded chunks.
+5. Round one verifies each list's members against one pivot only and keeps the overlaps. A set whose
+   pivot's answer is known takes it over: sets found linked are one component, and no pair inside a component is
+   verified again (answer-level skipping). The next rounds take, for each component in a list, the few
+   pairs with other components whose bitmaps agree most; the last takes all pairs that still
+   lie in different components, in bounded chunks. A pair's answer is first derived from its pivot's:
+   what both share with the pivot, and what each has beside it, bound their intersection from above and
+   below, so a pair that cannot be a link goes and one that must be is taken, both without reading a text.
+   Only what bitmaps and bounds leave open is verified.
 
 Postings travel as packed arrays, so neither the JVM nor Python handles a row for each.
 """
@@ -40,8 +43,10 @@ FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Rounds in which each component of a list tries its BEST pairs only, before the round that tries all.
 BEST, BEST_ROUNDS = 3, 1
 #: Members of a list that one task compares; pairs of one pivot that one group verifies.
-CHUNK, PIVOT_GROUP = 2048, 512
+CHUNK, PIVOT_GROUP = 512, 512
 FLUSH = 1 << 19
+#: Bytes of text for each bucket of postings: what a task holds at once does not grow with the table.
+BUCKET_BYTES = 1 << 26
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -102,10 +107,10 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
             np.not_equal(s[1:], s[:-1], out=keep[1:])
             out.append(s[keep])
         elif b > a:
-            short = np.uint64(b - a) * np.uint64(0x2545F4914F6CDD1D)
+            short = np.array([b - a], np.uint64) * np.uint64(0x2545F4914F6CDD1D)
             for j in range(b - a):
-                short = short + words[a + j] * k[j]
-            out.append(_mix(np.array([short], np.uint64)))
+                short += words[a + j : a + j + 1] * k[j]
+            out.append(_mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -190,7 +195,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, l
 
 
 def _dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return df.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
 
 
 def describe(docs: DataFrame, buckets: int) -> DataFrame:
@@ -343,6 +348,16 @@ def inverted_lists(posted: DataFrame, buckets: int) -> DataFrame:
     return rows.groupBy("sig", "n").agg(F.first("handles").alias("handles"), F.first("sizes").alias("sizes"))
 
 
+def pivots_of(handles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each member of a list (in order of size) the place of its pivot: the least handle of a run of sizes within reach."""
+    place, lo = np.empty(len(handles), np.int64), 0
+    while lo < len(handles):
+        hi = int(np.searchsorted(4 * sizes, 5 * sizes[lo], "right"))
+        place[lo:hi] = lo + int(np.argmin(handles[lo:hi]))
+        lo = hi
+    return place
+
+
 def star_pairs(lists: DataFrame) -> DataFrame:
     """Pairs (a, b) of a pivot and the members within its reach of size; a is the pivot."""
 
@@ -351,34 +366,40 @@ def star_pairs(lists: DataFrame) -> DataFrame:
             seen: set[tuple[int, int]] = set()
             for h, s in zip(batch.column(0), batch.column(1), strict=True):
                 handles, sizes = np.frombuffer(h.as_py(), "<i8"), np.frombuffer(s.as_py(), "<u4").astype(np.int64)
-                lo = 0
-                while lo < len(handles):
-                    hi = int(np.searchsorted(4 * sizes, 5 * sizes[lo], "right"))
-                    members = handles[lo:hi].tolist()
-                    pivot = min(members)
-                    seen.update((pivot, m) for m in members if m != pivot)
-                    lo = hi
+                seen.update((a, b) for a, b in zip(handles[pivots_of(handles, sizes)].tolist(), handles.tolist(), strict=True) if a != b)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.int64()), pa.array([p[1] for p in seen], pa.int64())], names=["a", "b"])
 
     return lists.select("handles", "sizes").mapInArrow(stars, "a long, b long").distinct()
 
 
 def list_members(lists: DataFrame) -> DataFrame:
-    """sig, h, n: a row for each member of a list."""
+    """sig, h, n, pivot, pivot_n: a row for each member of a list."""
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             handles = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
-            sizes = [np.frombuffer(x.as_py(), "<u4") for x in batch.column(2)]
+            sizes = [np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in batch.column(2)]
             if handles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), [len(h) for h in handles])), pa.array(np.concatenate(handles)), pa.array(np.concatenate(sizes).astype(np.int64))], names=["sig", "h", "n"])
+                at = [pivots_of(h, n) for h, n in zip(handles, sizes, strict=True)]
+                columns = [
+                    np.repeat(batch.column(0).to_numpy(), [len(h) for h in handles]), np.concatenate(handles), np.concatenate(sizes),
+                    np.concatenate([h[i] for h, i in zip(handles, at, strict=True)]), np.concatenate([n[i] for n, i in zip(sizes, at, strict=True)]),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "h", "n", "pivot", "pivot_n"])
+
+    return lists.select("sig", "handles", "sizes").mapInArrow(members, "sig long, h long, n long, pivot long, pivot_n long")
+
 
-    return lists.select("sig", "handles", "sizes").mapInArrow(members, "sig long, h long, n long")
+def derived_bounds(n: int | np.ndarray, m: np.ndarray, with_n: int | np.ndarray, with_m: np.ndarray, pivot_n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most that sets of n and m members can share, from what each shares with a pivot of ``pivot_n`` members."""
+    most = np.minimum(with_m + (n - with_n), with_n + (m - with_m))
+    return with_n + with_m - pivot_n, most
 
 
-def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes], apart: np.ndarray | None, best: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows (sorted by n) of different roots, sizes within reach, that bitmaps allow; with ``best``, the best
-    few of each root only. ``apart``: rows with equal numbers are compared elsewhere."""
+def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes], pivot: np.ndarray, pivot_n: np.ndarray, shared_with: np.ndarray, apart: np.ndarray | None, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows (sorted by n) of different roots, sizes within reach, that bitmaps and the pivot's answer allow, and
+    whether the latter makes them links; with ``best``, of the open ones the best few of each root only.
+    ``shared_with``: what a row shares with its pivot, -1 if unknown. ``apart``: rows with equal numbers are compared elsewhere."""
     words = np.array([len(b) // 8 for b in bits])
     rows: dict[int, np.ndarray] = {}
     at: dict[int, np.ndarray] = {}
@@ -393,7 +414,7 @@ def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes
         rows[w], at[w] = m, np.full(len(h), -1)
         at[w][own] = np.arange(len(own))
     reach = np.searchsorted(4 * n, 5 * n, "right")
-    left, right, score = [], [], []
+    left, right, score, sure = [], [], [], []
     for k in range(len(h)):
         to = np.arange(k + 1, reach[k])
         keep = root[to] != root[k]
@@ -406,15 +427,21 @@ def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes
         m, place = rows[w], at[w]
         differ = np.bitwise_count(m[place[to]] ^ m[place[k]]).sum(axis=1).astype(np.int64)
         shared = (n[to] + n[k] - differ) // 2
+        least = np.full(len(to), -1)
+        if shared_with[k] >= 0:
+            known = (pivot[to] == pivot[k]) & (shared_with[to] >= 0)
+            low, most = derived_bounds(n[k], n[to], shared_with[k], shared_with[to], pivot_n[k])
+            shared, least = np.where(known, np.minimum(shared, most), shared), np.where(known, low, -1)
         could = 9 * shared >= 4 * (n[to] + n[k])
         to = to[could]
         if len(to):
             left.append(np.full(len(to), k))
             right.append(to)
             score.append(shared[could] / (n[to] + n[k]))
+            sure.append(9 * least[could] >= 4 * (n[to] + n[k]))
     if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b, s = np.concatenate(left), np.concatenate(right), np.concatenate(score)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    a, b, s, certain = np.concatenate(left), np.concatenate(right), np.concatenate(score), np.concatenate(sure)
     if best is not None:
         pair = np.tile(np.arange(len(a)), 2)
         of = np.concatenate((root[a], root[b]))
@@ -422,29 +449,31 @@ def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes
         of, pair = of[order], pair[order]
         first = np.concatenate(([True], of[1:] != of[:-1]))
         rank = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
-        chosen = np.unique(pair[rank < best])
-        a, b = a[chosen], b[chosen]
-    return h[a], h[b]
+        chosen = np.union1d(pair[rank < best], np.flatnonzero(certain))
+        a, b, certain = a[chosen], b[chosen], certain[chosen]
+    return h[a], h[b], certain
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, heads: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a < b) of a list's members in different components that may be links."""
+def open_pairs(members: DataFrame, roots: DataFrame, heads: DataFrame, overlaps: DataFrame, best: int | None) -> DataFrame:
+    """Pairs (a < b) of a list's members in different components that may be links, and whether they are sure to be."""
     rows = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k")).where(F.col("r0") != F.col("r1"))
     rows = rows.join(mixed.select("sig", F.ceil(F.col("k") / CHUNK).cast("int").alias("c")), "sig")
+    rows = rows.join(overlaps.select(F.col("a").alias("pivot"), F.col("b").alias("h"), "shared"), ["pivot", "h"], "left")
+    rows = rows.withColumn("with", F.when(F.col("pivot") == F.col("h"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))).cast("long"))
     rows = rows.join(heads.select(F.col("f1").alias("h"), "bits"), "h")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "n", "root", "bits")
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "n", "root", "bits", "pivot", "pivot_n", "with")
 
     def cross(table: pa.Table) -> pa.Table:
-        h, n, root, own = (table.column(c).to_numpy() for c in ("h", "n", "root", "own"))
-        order = np.lexsort((h, n))
+        h, n, root, own, pivot, pivot_n, shared = (table.column(c).to_numpy() for c in ("h", "n", "root", "own", "pivot", "pivot_n", "with"))
+        o = np.lexsort((h, n))
         bits = table.column("bits").to_pylist()
         split = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        x, y = cross_pairs(h[order], n[order], root[order], [bits[k] for k in order.tolist()], own[order] if split else None, best)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+        x, y, sure = cross_pairs(h[o], n[o], root[o], [bits[k] for k in o.tolist()], pivot[o], pivot_n[o], shared[o], own[o] if split else None, best)
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": sure})
 
-    return rows.groupBy("sig", "i", "j").applyInArrow(cross, "a long, b long").distinct()
+    return rows.groupBy("sig", "i", "j").applyInArrow(cross, "a long, b long, sure boolean").groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
 
 
 def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
@@ -461,19 +490,23 @@ def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(bound, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, most_broadcast: int = 400_000) -> DataFrame:
-    """The pairs that are links, by exact intersection of their whole texts' sets: a, b.
+def overlaps_of(pairs: DataFrame, docs: DataFrame, orphans: DataFrame | None, heads: DataFrame, most_broadcast: int = 400_000) -> DataFrame:
+    """a, b, shared and link of pairs whose sizes are within reach, by exact intersection of their whole texts' sets.
 
     Pairs of one pivot are dealt to groups of bounded size; a group streams the pivot first, then
-    its members.
+    its members. ``orphans``: texts (set, text) of classes that have no id to be found by.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_GROUP).alias("groups"))
     salted = pairs.join(counts, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("salt"), "b")
     roles = salted.select("a", "salt", F.lit(1).alias("role"), "b").unionByName(salted.select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b")).distinct())
-    wanted = stage(roles.join(heads.select(F.col("f1").alias("b"), F.col("head").alias("doc_id")), "b").where(F.col("doc_id").isNotNull()), "wanted")
+    wanted = stage(roles.join(heads.select(F.col("f1").alias("b"), F.col("head").alias("doc_id")), "b"), "wanted")
     # Few rows (40 bytes each) go to the texts; many are joined by a shuffle. Either way a text is then sent once for each.
     small = wanted.count() <= most_broadcast
-    rows = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("a", "salt", "role", "b", "text")
+    found = wanted.where(F.col("doc_id").isNotNull())
+    rows = docs.join(F.broadcast(found) if small else found, "doc_id").select("a", "salt", "role", "b", "text")
+    if orphans is not None:
+        lost = wanted.where(F.col("doc_id").isNull()).drop("doc_id")
+        rows = rows.unionByName(orphans.join(F.broadcast(lost) if small else lost, F.col("set") == F.col("b")).select("a", "salt", "role", "b", "text"))
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -487,11 +520,11 @@ def verify(pairs: DataFrame, docs: DataFrame, heads: DataFrame, most_broadcast:
                 if r == 0:
                     pivot, held = x, s
                 elif x == pivot and 5 * min(len(s), len(held)) >= 4 * max(len(s), len(held)):
-                    if linked(len(np.intersect1d(s, held, assume_unique=True)), len(s), len(held)):
-                        found.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
+                    shared = len(np.intersect1d(s, held, assume_unique=True))
+                    found.append((x, y, shared, linked(shared, len(s), len(held))))
+            yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "shared", "link"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(compare, "a long, b long, shared long, link boolean")
 
 
 def set_of(text: Column) -> Column:
@@ -508,29 +541,36 @@ def join_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """doc_id, n_shingles, component_id of every row; ``with_sets`` adds set, the handle of the row's set.
 
     Texts without words are linked with nothing and are their own component. A null text is empty.
-    Repeated rows share a set. Rows without an id belong to their equal texts' component, but texts
-    of which no copy has an id are linked with no other text: their component is null.
+    Repeated rows share a set. Rows without an id link like others; a component is null only if none of its rows
+    has an id. Only id and text are read. An empty table gives no rows.
     """
     spark = documents.sparkSession
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     described = stage(describe(docs, buckets), "described")
     rows = described.where(F.col("keys").isNull()).select("doc_id", "n", "f1", "bits")
     frequent = frequent_keys(described.where(F.col("keys").isNotNull()).select("bucket", "keys"), buckets)
     lists = stage(inverted_lists(postings(docs, buckets, frequent), buckets), "lists")
     # A class's head: the document whose text stands for it.
     heads = stage(rows.where(F.col("n") > 0).groupBy("f1").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("bits").alias("bits")), "heads")
+    orphans = None
+    if heads.where(F.col("head").isNull()).head(1):
+        lone = docs.where(F.col("doc_id").isNull()).select(set_of(F.col("text")).alias("set"), "text")
+        orphans = stage(lone.join(heads.where(F.col("head").isNull()).select(F.col("f1").alias("set")), "set", "left_semi").dropDuplicates(["set"]), "orphans")
     tried = stage(star_pairs(lists), "star_pairs")
-    links = stage(verify(stage(possible(tried, heads), "star_possible"), docs, heads), "star_links")
+    overlaps = stage(overlaps_of(stage(possible(tried, heads), "star_possible"), docs, orphans, heads), "star_overlaps")
+    links = overlaps.where("link").select("a", "b")
     roots = components(links)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = stage(list_members(lists), "list_members")
     for best in (*[BEST] * BEST_ROUNDS, None):
-        rest = stage(open_pairs(members, roots, heads, best).join(known, ["a", "b"], "left_anti"), "open_pairs")
+        rest = stage(open_pairs(members, roots, heads, overlaps, best).join(known, ["a", "b"], "left_anti"), "open_pairs")
         if not rest.head(1):
             continue
-        known = known.unionByName(rest)
-        more = stage(verify(rest, docs, heads), "open_links")
+        known = known.unionByName(rest.select("a", "b"))
+        more = overlaps_of(rest.where(~F.col("sure")).select("a", "b"), docs, orphans, heads).where("link").select("a", "b")
+        more = stage(more.unionByName(rest.where("sure").select("a", "b")), "open_links")
         if more.head(1):
             links = links.unionByName(more)
             roots = components(links)
