@@ -50,6 +50,16 @@ class Validation:
     warn_score: float = 0.75
     fail_score: float = 0.55
     flag_top: int = 20
+    roughness_min_stddev: float = 0.01
+    ao_min_stddev: float = 0.005
+    metalness_nonmetal_max_mean: float = 0.25
+    metalness_metal_min_mean: float = 0.55
+    metalness_midband_max_ratio: float = 0.25
+    strict_material_semantics: bool = True
+    warn_on_heuristic_maps: bool = True
+    fail_on_heuristic_maps: bool = False
+    regression_threshold: float = 0.15
+    require_full_mipchain: bool = True
 
 
 @dataclass

@@ -45,5 +45,13 @@ FOURCC_CODECS = {"DXT1": "bc1", "DXT3": "bc2", "DXT5": "bc3", "ATI1": "bc4", "BC
 DXGI_SRGB = {71: 72, 74: 75, 77: 78, 98: 99}
 BLOCK_BYTES = {"bc1": 8, "bc2": 16, "bc3": 16, "bc4": 8, "bc5": 16, "bc6h": 16, "bc7": 16}
 PHASES = ("upscale", "pbr", "normal", "pom", "postprocess", "mipmap", "validate")
+#: Words in a file's name that let its map be uniform.
+UNIFORM_OK_TAGS = ("_metalness", "_ao", "_height", "_mask", "_zones", "_envmask", "_emissive_mask")
+#: Suffixes of outputs that may be flat.
+FLAT_OK_SUFFIXES = ("_roughness", "_metalness", "_ao", "_orm", "_opacity", "_mask", "_height", "_gloss", "_envmask", "_zones", "_emissive_mask", "_emissive")
+#: Extensions that an output of a suffix may have beside the asset's own.
+EXTRA_EXTENSIONS = (".png", ".dds", ".ktx2", ".tga")
+#: Phases in the order in which they run, and the phases each builds on.
+ALL_PHASES = ("scan", "upscale", "pbr", "normal", "pom", "postprocess", "mipmap", "validate", "copy")
 #: Channel layouts of packed maps: red, green, blue, alpha.
-LAYOUTS = {"unreal_orm": ("ao", "roughness", "metalness", "none"), "unity_mas": ("metalness", "ao", "gloss", "none"), "source_phong": ("ao", "roughness", "metalness", "gloss"), "idtech_rma": ("roughness", "metalness", "ao", "none")}
+LAYOUTS = {"unreal_orm": ("ao", "roughness", "metalness", "none"), "unity_mas": ("metalness", "ao", "smoothness", "none"), "source_phong": ("ao", "roughness", "metalness", "gloss"), "idtech_rma": ("roughness", "metalness", "ao", "none")}

@@ -20,6 +20,12 @@ def little(raw: Column, offset: int, size: int = 4) -> Column:
     return F.when(F.length(raw) >= offset + size, value).otherwise(F.lit(0).cast("decimal(20,0)" if size == 8 else "long"))
 
 
+def little_at(raw: Column, offset: Column, size: int) -> Column:
+    """The same at an offset that is a column; the caller knows that it lies within."""
+    parts = [F.substr(raw, offset + k + 1, F.lit(1)) for k in reversed(range(size))]
+    return F.conv(F.hex(F.concat(*parts)), 16, 10).cast("decimal(20,0)")
+
+
 def bytes_of(value: Column, size: int = 4) -> Column:
     """A number as little-endian bytes."""
     text = F.lpad(F.hex(value), 2 * size, "0")
@@ -49,21 +55,67 @@ def dds_header(raw: Column) -> Column:
     return F.when(has_magic(raw, "dds"), F.struct(*[v.alias(k) for k, v in fields.items()]))
 
 
-def dds_issues(raw: Column) -> Column:
-    """Names of failed checks, in order; empty for a sound file."""
+def _found(tests: list[tuple[str, Column]]) -> Column:
+    return F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests]), lambda x: x.isNotNull())
+
+
+def dds_issues(raw: Column, require_mips: bool = False, expected_codec: Column | None = None) -> Column:
+    """Names of failed checks, in order; empty for a sound file. An empty, foreign or truncated file has no further ones.
+
+    With ``expected_codec``, another codec or none is an issue too.
+    """
     flags, caps, mips = little(raw, 8), little(raw, 108), little(raw, 28)
     side = F.greatest(little(raw, 12), little(raw, 16))
-    tests = {
-        "dds_magic": ~has_magic(raw, "dds"),
-        "dds_truncated": F.length(raw) < 128,
-        "dds_header": little(raw, 4) != 124,
-        "dds_pixel_format": little(raw, 76) != 32,
-        "dds_flags": flags.bitwiseAND(F.lit(0x1007)) != 0x1007,
-        "dds_caps": caps.bitwiseAND(F.lit(0x1000)) == 0,
-        "dds_dimensions": (little(raw, 12) == 0) | (little(raw, 16) == 0),
-        "dds_mip_count": (mips > 1) & (side > 0) & (mips > C.floor_log2(F.greatest(side, F.lit(1))) + 1),
-    }
-    return F.filter(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]), lambda x: x.isNotNull())
+    has = lambda number, bits: number.bitwiseAND(F.lit(bits)) == bits
+    tests = [
+        ("dds_header", little(raw, 4) != 124),
+        ("dds_pixel_format", little(raw, 76) != 32),
+        ("dds_flags", ~has(flags, 0x1007)),
+        ("dds_caps_texture", ~has(caps, 0x1000)),
+        ("dds_dimensions", (little(raw, 12) == 0) | (little(raw, 16) == 0)),
+        ("dds_mip_count", has(flags, 0x20000) & (mips == 0)),
+        ("dds_mip_count", (mips > 0) & (side > 0) & (mips > C.floor_log2(F.greatest(side, F.lit(1))) + 1)),
+        ("dds_mipchain", F.lit(require_mips) & (side > 1) & (mips <= 1)),
+        ("dds_caps_mipmap", has(caps, 0x400000) & (mips <= 1)),
+        ("dds_dx10_header", (F.substring(raw, 85, 4).cast("string") == "DX10") & (F.length(raw) < 148)),
+    ]
+    if expected_codec is not None:
+        tests.append(("dds_codec", F.coalesce(dds_header(raw)["codec"], F.lit("")) != expected_codec))
+    return _stopping(raw, "dds", 128, "dds_header", _found(tests))
+
+
+def _stopping(raw: Column, kind: str, least: int, truncated: str, rest: Column) -> Column:
+    return (
+        F.when(F.length(raw) == 0, F.array(F.lit("non_zero_size")))
+        .when(~has_magic(raw, kind), F.array(F.lit("magic_bytes")))
+        .when(F.length(raw) < least, F.array(F.lit(truncated)))
+        .otherwise(rest)
+    )
+
+
+def srgb_mismatch(raw: Column, kind: Column) -> Column:
+    """Whether a DX10 file's format is sRGB though its texture type is linear, or the other way round; null for other files."""
+    code = dds_header(raw)["dxgi"]
+    return F.when(code > 0, code.isin(*T.DXGI_SRGB.values()) != kind.isin(*T.SRGB_TYPES))
+
+
+def ktx2_levels(raw: Column) -> Column:
+    """The level index: array of struct(level, offset, length, raw_length); null if it does not lie within the file."""
+    count = little(raw, 40)
+    at = lambda k, place: little_at(raw, F.lit(80) + 24 * k + place, 8)
+    whole = (count > 0) & (F.length(raw) >= 80 + 24 * count)
+    numbers = F.sequence(F.lit(0), F.when(whole, count - 1).otherwise(0).cast("int"))
+    return F.when(whole & has_magic(raw, "ktx2"), F.transform(numbers, lambda k: F.struct(k.alias("level"), at(k, 0).alias("offset"), at(k, 8).alias("length"), at(k, 16).alias("raw_length"))))
+
+
+def ktx2_issues(raw: Column, require_mips: bool = False) -> Column:
+    """Names of failed checks, in order; one for each bad level. What needs a sound header is left out without one."""
+    width, height, faces, levels = (little(raw, k) for k in (20, 24, 36, 40))
+    head = [("ktx2_dimensions", width == 0), ("ktx2_dimensions", height == 0), ("ktx2_face_count", ~faces.isin(1, 6)), ("ktx2_level_count", levels == 0)]
+    chain = [("ktx2_mipchain", F.lit(require_mips) & (F.greatest(width, height) > 1) & (levels == 1)), ("ktx2_level_index", F.length(raw) < 80 + 24 * levels)]
+    bad = F.filter(F.coalesce(ktx2_levels(raw), F.array()), lambda m: (m["length"] == 0) | (m["offset"] + m["length"] > F.length(raw)))
+    rest = F.when(levels == 0, _found(head)).otherwise(F.concat(_found(head), _found(chain), F.transform(bad, lambda m: F.lit("ktx2_level_index"))))
+    return _stopping(raw, "ktx2", 80, "ktx2_header", rest)
 
 
 def mended_dds(raw: Column) -> Column:

@@ -23,20 +23,13 @@ def heuristic_issues(kind: Column, has_pbr: Column, has_normal: Column) -> Colum
 
 
 def file_issues(name: Column, raw: Column) -> Column:
-    """Checks of an output file by its bytes: empty, or not what its extension says; DDS headers in full."""
+    """Checks of an output file by its bytes: empty, or not what its extension says; containers in full."""
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
     case = F
     for k in B.MAGIC:
         case = case.when(ext.isin(*(("jpg", "jpeg") if k == "jpg" else (k,))), B.has_magic(raw, k))
-    wrong = ~case.otherwise(F.lit(True))
-    found = F.filter(F.array(F.when(wrong, F.lit("magic_bytes"))), lambda x: x.isNotNull())
-    return F.when(F.length(raw) == 0, F.array(F.lit("non_zero_size"))).otherwise(F.concat(found, F.when((ext == "dds") & ~wrong, B.dds_issues(raw)).otherwise(F.array().cast("array<string>"))))
-
-
-def severity(warnings: Column, strict: bool) -> tuple[Column, Column]:
-    """(warnings, errors): strict turns all warnings into errors."""
-    none = F.array().cast("array<string>")
-    return (none, warnings) if strict else (warnings, none)
+    found = F.filter(F.array(F.when(~case.otherwise(F.lit(True)), F.lit("magic_bytes"))), lambda x: x.isNotNull())
+    return F.when(F.length(raw) == 0, F.array(F.lit("non_zero_size"))).when(ext == "dds", B.dds_issues(raw)).when(ext == "ktx2", B.ktx2_issues(raw)).otherwise(found)
 
 
 def issues(files: DataFrame, name: str = "file", raw: str = "content") -> DataFrame:

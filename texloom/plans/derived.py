@@ -97,7 +97,7 @@ CODEC = "CASE WHEN asset_id % 2 = 0 THEN 'bc1' ELSE 'bc5' END"
 
 
 @query(WITH + f"""SELECT asset_id, CAST(width AS BIGINT) AS w, CAST(height AS BIGINT) AS h, asset_id % 4 AS mips, {CODEC} AS codec,
-  concat_ws(',', CASE WHEN asset_id % 7 = 0 THEN 'dds_header' END, CASE WHEN asset_id % 5 = 0 THEN 'dds_pixel_format' END, CASE WHEN asset_id % 3 = 0 THEN 'dds_caps' END,
+  concat_ws(',', CASE WHEN asset_id % 7 = 0 THEN 'dds_header' END, CASE WHEN asset_id % 5 = 0 THEN 'dds_pixel_format' END, CASE WHEN asset_id % 3 = 0 THEN 'dds_caps_texture' END,
     CASE WHEN asset_id % 4 > 1 AND asset_id % 4 > floor(log2(greatest(width, height))) + 1 THEN 'dds_mip_count' END) AS issues FROM v_assets""")
 def dds_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers written and read again as bytes."""

@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom.functions import catalog as C
 from texloom.functions import tables as T
-from texloom.sources import png
+from texloom.sources import images
 
 MANIFEST = (
     "filepath string, filename string, texture_type string, original_width int, original_height int, channels int, has_alpha string, is_tileable string, is_hero string, material_category string, "
     "file_size_kb double, file_hash string, is_gloss string, status string"
 )
+PROBED = pa.schema([("filepath", pa.string()), ("original_width", pa.int32()), ("original_height", pa.int32()), ("channels", pa.int32()), ("has_alpha", pa.bool_()), ("file_size_kb", pa.float64()), ("file_hash", pa.string())])
 FLAGS = ("has_alpha", "is_tileable", "is_hero", "is_gloss")
 
 
@@ -28,26 +29,25 @@ def scan(spark: SparkSession, root: str, max_pixels: int = 67_108_864, min_side:
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").replace("\\", "/").split("://")[-1] + "/", "")
-    files = files.where(C.extension(F.col("path")).isin(*T.INPUT_EXTENSIONS) & (F.col("length") > 0)).select(rel.alias("filepath"), "length", "content")
+    files = files.where(C.extension(F.col("path")).isin(*T.INPUT_EXTENSIONS) & (F.col("length") > 0)).select(rel.alias("filepath"), "length", F.sha2("content", 256).alias("file_hash"), "content")
 
-    def probe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for path, length, content in zip(frame["filepath"], frame["length"], frame["content"], strict=True):
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # one file at a time
+                path, length, digest, content = (batch.column(c)[i].as_py() for c in range(4))
                 try:
-                    w, h, n, _ = png.probe(content)
-                    if (max_pixels and w * h > max_pixels) or min(w, h) < min_side:
+                    head = images.probe(content, path)
+                    if (max_pixels and head.width * head.height > max_pixels) or min(head.width, head.height) < min_side:
                         continue
-                    alpha = n in (2, 4) and bool((png.decode(content)[..., -1] < 1).any())
-                except (ValueError, KeyError, IndexError, OSError, __import__("zlib").error, __import__("struct").error):
+                    alpha = head.mode in ("LA", "RGBA") and bool((images.decode(content, path)[..., -1] < 1).any())
+                except images.BROKEN:
                     continue
-                rows.append((path, w, h, n, alpha, round(length / 1024, 1)))
-            yield pd.DataFrame(rows, columns=["filepath", "original_width", "original_height", "channels", "has_alpha", "file_size_kb"])
+                row = {"filepath": path, "original_width": head.width, "original_height": head.height, "channels": head.bands, "has_alpha": alpha, "file_size_kb": round(length / 1024, 1), "file_hash": digest}
+                yield pa.RecordBatch.from_pylist([row], PROBED)
 
-    hashed = files.select("filepath", F.sha2("content", 256).alias("file_hash"))
-    rows = files.mapInPandas(probe, "filepath string, original_width int, original_height int, channels int, has_alpha boolean, file_size_kb double")
+    rows = files.mapInArrow(probe, "filepath string, original_width int, original_height int, channels int, has_alpha boolean, file_size_kb double, file_hash string")
     p = F.col("filepath")
-    return rows.join(hashed, "filepath").select(
+    return rows.select(
         "filepath", F.regexp_extract(p, "[^/]*$", 0).alias("filename"), C.texture_type(p).alias("texture_type"), "original_width", "original_height", "channels", "has_alpha",
         C.is_tileable(p).alias("is_tileable"), C.is_hero(p).alias("is_hero"), C.material(p).alias("material_category"), "file_size_kb", "file_hash", C.is_gloss(p).alias("is_gloss"), F.lit("pending").alias("status"),
     )
