@@ -181,6 +181,30 @@ def lab(rgb: np.ndarray) -> np.ndarray:
     return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
 
 
+def from_lab(lab_: np.ndarray) -> np.ndarray:
+    """sRGB values of CIE L*a*b*, clipped."""
+    f1 = (lab_[..., 0] + 16) / 116
+    f = np.stack([f1 + lab_[..., 1] / 500, f1, f1 - lab_[..., 2] / 200], axis=-1)
+    xyz = np.where(f**3 > 0.008856, f**3, (f - 16 / 116) / 7.787) * np.array([0.950456, 1.0, 1.088754])
+    m = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+    return to_srgb(np.clip(xyz @ np.linalg.inv(m).T, 0, 1))
+
+
+def non_local_means(rgb: np.ndarray, strength: float, patch: int = 7, search: int = 21) -> np.ndarray:
+    """Each pixel as the mean of those whose surroundings resemble its own, weighted by exp(-distance / strength^2)."""
+    h, w = rgb.shape[:2]
+    r = search // 2
+    wide = np.pad(rgb, ((r, r), (r, r), (0, 0)), mode="symmetric" if min(h, w) >= r else "edge")
+    total, out = np.zeros((h, w)), np.zeros_like(rgb, dtype=np.float64)
+    for dy in range(search):
+        for dx in range(search):
+            other = wide[dy : dy + h, dx : dx + w]
+            k = np.exp(-box(((rgb - other) ** 2).mean(-1), patch) / strength**2)
+            total += k
+            out += k[..., None] * other
+    return out / total[..., None]
+
+
 def bt709(rgb: np.ndarray) -> np.ndarray:
     return rgb[..., :3] @ np.array([0.2126, 0.7152, 0.0722])
 

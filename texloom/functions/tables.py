@@ -51,7 +51,18 @@ UNIFORM_OK_TAGS = ("_metalness", "_ao", "_height", "_mask", "_zones", "_envmask"
 FLAT_OK_SUFFIXES = ("_roughness", "_metalness", "_ao", "_orm", "_opacity", "_mask", "_height", "_gloss", "_envmask", "_zones", "_emissive_mask", "_emissive")
 #: Extensions that an output of a suffix may have beside the asset's own.
 EXTRA_EXTENSIONS = (".png", ".dds", ".ktx2", ".tga")
-#: Phases in the order in which they run, and the phases each builds on.
-ALL_PHASES = ("scan", "upscale", "pbr", "normal", "pom", "postprocess", "mipmap", "validate", "copy")
+#: Phases in the order in which they run.
+ALL_PHASES = ("scan", "upscale", "pbr", "normal", "pom", "postprocess", "mipmap", "validate")
 #: Channel layouts of packed maps: red, green, blue, alpha.
 LAYOUTS = {"unreal_orm": ("ao", "roughness", "metalness", "none"), "unity_mas": ("metalness", "ao", "smoothness", "none"), "source_phong": ("ao", "roughness", "metalness", "gloss"), "idtech_rma": ("roughness", "metalness", "ao", "none")}
+#: What a channel of a packed map may hold.
+PACK_SOURCES = frozenset(("ao", "roughness", "metalness", "gloss", "smoothness", "one", "zero", "none"))
+#: Linear sRGB to XYZ and back, and the white point, as used for 8-bit Lab.
+RGB_TO_XYZ = ((0.412453, 0.357580, 0.180423), (0.212671, 0.715160, 0.072169), (0.019334, 0.119193, 0.950227))
+XYZ_TO_RGB = ((3.240479, -1.537150, -0.498535), (-0.969256, 1.875991, 0.041556), (0.055648, -0.204043, 1.057311))
+WHITE = (0.950456, 1.0, 1.088754)
+#: Types that are graded, and materials that get a detail normal.
+GRADED_TYPES = ("diffuse", "albedo", "specular", "emissive", "ui", "unknown")
+DETAIL_MATERIALS = ("stone", "concrete", "brick", "wood", "metal", "fabric")
+#: The phases that each phase builds on.
+PHASE_NEEDS = {"upscale": (), "pbr": ("upscale",), "normal": ("upscale", "pbr"), "pom": ("normal",), "mipmap": ("upscale",), "postprocess": ("pbr", "normal"), "validate": ()}

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from texloom.functions import kernels as K
 from texloom.functions import tables as T
+from texloom.functions.colour import Grading
 
 
 def scale_of(h: int, w: int, base: int = 1024) -> float:
@@ -36,6 +37,38 @@ def delighted(rgb: np.ndarray, low_sigma: float = 48.0, mid_sigma: float = 12.0,
     return np.clip(K.to_srgb(np.clip(lin * gain[..., None], 0, 1) * strength + lin * (1 - strength)), 0, 1)
 
 
+def delighted_lab(rgb: np.ndarray, strength: float = 1.0) -> np.ndarray:
+    """Albedo by correcting lightness alone: three wide blurs of it, weighted, as the illumination; gain from a half to two."""
+    lab = K.lab(rgb)
+    light = lab[..., 0] * 2.55
+    side = max(rgb.shape[:2])
+    shade = sum(w * K.gaussian(light, max(side // k / 3.0, 1.0)) for w, k in ((0.2, 8), (0.5, 4), (0.3, 2)))
+    fixed = np.clip(light * np.clip(shade.mean() / np.maximum(shade, 1.0), 0.5, 2.0), 0, 255) if shade.mean() > 1 else light
+    lab[..., 0] = (fixed * strength + light * (1 - strength)) / 2.55
+    return K.from_lab(lab)
+
+
+def graded(rgb: np.ndarray, material: str, s: Grading, cube: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The whole grading pass: white balance, exposure, gamma, saturation, colour table, denoising, sharpening, clamp."""
+    of = lambda table, other: table.get((material or "default").strip().lower() or "default", table.get("default", other))
+    wb = float(np.clip(s.white_balance + of(s.white_balance_by, 0.0), -1, 1))
+    work = K.to_linear(np.clip(rgb, 0, 1)) * np.array([1 + 0.18 * wb, 1 - 0.06 * abs(wb), 1 - 0.18 * wb]) * 2.0 ** (s.exposure + of(s.exposure_by, 0.0))
+    work = np.clip(work, 0, 1) ** max(of(s.gamma_by, s.gamma), 1e-3)
+    luma = K.bt709(work)[..., None]
+    work = np.clip(luma + (work - luma) * s.saturation * of(s.saturation_by, 1.0), 0, 1)
+    if s.lut_strength > 0 and cube is not None:
+        k, shown = min(s.lut_strength, 1.0), K.to_srgb(work)
+        work = K.to_linear(shown * (1 - k) + np.clip(K.lut_trilinear(shown, *cube), 0, 1) * k)
+    if s.denoise > 0:
+        work = K.to_linear(K.non_local_means(K.to_srgb(work), max(round(6 + s.denoise * 12), 1) / 255))
+    if s.sharpen > 0:
+        blur = np.stack([K.gaussian(work[..., c], max(s.sharpen_radius, 0.5)) for c in range(3)], axis=-1)
+        work = np.clip(work + s.sharpen * (work - blur), 0, 1)
+    if s.clamp and s.clamp[0] < s.clamp[1]:
+        work = np.clip(work, *s.clamp)
+    return np.clip(K.to_srgb(work), 0, 1)
+
+
 def zones(rgb: np.ndarray, material: str, blur: int = 5) -> dict[str, np.ndarray]:
     """Soft masks of metal, cloth, leather and skin by hue, saturation, value and local variation."""
     h, s, v = np.moveaxis(K.hsv(rgb), -1, 0)
@@ -231,16 +264,35 @@ def curvature(n: np.ndarray, radius: int = 1) -> np.ndarray:
     return K.min_max(K.gaussian(out, radius, "wrap"))
 
 
-def derive(df: DataFrame, make: Callable[[np.ndarray, str], dict[str, np.ndarray]], h: int, w: int, channels: int, names: tuple[str, ...], value: str = "v", key: str = "vec_id", material: str = "material") -> DataFrame:
-    """(key, map, h, w, data) for every map that ``make`` derives from a raster and its material."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for k, v, m in zip(frame[key], frame[value], frame[material], strict=True):
-                a = np.asarray(v, np.float64)[: h * w * channels].reshape((h, w, channels) if channels > 1 else (h, w))
-                made = make(a, m)
-                rows += [(k, n, made[n].shape[0], made[n].shape[1], made[n].ravel()) for n in names if n in made]
-            yield pd.DataFrame(rows, columns=[key, "map", "h", "w", "data"])
-
-    return df.select(key, value, material).mapInPandas(run, f"{key} long, map string, h int, w int, data array<double>")
+def derive(df: DataFrame, make: Callable[[np.ndarray, str], dict[str, np.ndarray]], h: int, w: int, channels: int, names: tuple[str, ...], value: str = "v", key: str = "vec_id", material: str = "material", rows_a_batch: int = 256, tasks: int | None = None) -> DataFrame:
+    """(key, map, h, w, data) for every map that ``make`` derives from a raster and its material.
+
+    Rasters are spread over tasks first, as a source of few large files would leave most of them idle. A raster
+    of another size is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows_a_batch):
+                part = batch.slice(i, rows_a_batch)
+                v = part.column(1)
+                sizes = np.diff(v.offsets.to_numpy())
+                if (sizes != h * w * channels).any():
+                    raise ValueError(f"a raster of {sizes.max()} values where {h * w * channels} were named")
+                cells = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape((len(v), h, w, channels) if channels > 1 else (len(v), h, w))
+                keys, maps, heights, widths, data, ends = [], [], [], [], [], [0]
+                for k, a, m in zip(part.column(0).to_pylist(), cells, part.column(2).to_pylist(), strict=True):
+                    made = make(a, m)
+                    for n in names:
+                        if n in made:
+                            keys.append(k)
+                            maps.append(n)
+                            heights.append(made[n].shape[0])
+                            widths.append(made[n].shape[1])
+                            data.append(made[n].ravel())
+                            ends.append(ends[-1] + data[-1].size)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(data) if data else np.zeros(0)))
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(maps, pa.string()), pa.array(heights, pa.int32()), pa.array(widths, pa.int32()), lists], names=[key, "map", "h", "w", "data"])
+
+    rows = df.select(key, value, material).repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, f"{key} long, map string, h int, w int, data array<double>")

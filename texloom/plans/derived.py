@@ -22,7 +22,7 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pbr_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Albedo, roughness, metalness, occlusion, gloss and zones of 4 x 4 colour rasters."""
+    """Albedo by two ways, roughness, metalness, occlusion, gloss and zones of 4 x 4 colour rasters."""
 
     def make(a: np.ndarray, material: str) -> dict[str, np.ndarray]:
         albedo = H.delighted(a[..., :3])
@@ -32,9 +32,9 @@ def pbr_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
         metal = H.metalness(albedo, material)
         for z, least in T.ZONE_METALNESS.items():
             metal = np.maximum(metal, np.clip(zones[z] * least, 0, 1))
-        return {"albedo": albedo, "roughness": rough, "metalness": metal, "ao": H.occlusion(lin), "gloss": np.clip(1 - rough, 0, 1), "zones": np.stack(list(zones.values()), axis=-1)}
+        return {"albedo": albedo, "albedo_lab": H.delighted_lab(a[..., :3]), "roughness": rough, "metalness": metal, "ao": H.occlusion(lin), "gloss": np.clip(1 - rough, 0, 1), "zones": np.stack(list(zones.values()), axis=-1)}
 
-    return H.derive(_rasters(spark, sf_dir), make, 4, 4, 4, ("albedo", "roughness", "metalness", "ao", "gloss", "zones"))
+    return H.derive(_rasters(spark, sf_dir), make, 4, 4, 4, ("albedo", "albedo_lab", "roughness", "metalness", "ao", "gloss", "zones"))
 
 
 @query()
