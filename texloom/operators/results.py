@@ -35,13 +35,6 @@ def summary(results: DataFrame) -> DataFrame:
     return results.groupBy("phase").agg(*[F.count_if(state == s).alias(s) for s in ("processed", "skipped", "failed")])
 
 
-def failure_ratio(results: DataFrame, by: tuple[str, ...], order: tuple[str, ...], ratio: float = 0.5, least: int = 10) -> DataFrame:
-    """Running share of failures in each group, and whether it would stop the phase there."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = results.withColumn("processed", F.count(F.lit(1)).over(w)).withColumn("failures", F.sum(F.col("failed").cast("long")).over(w))
-    return rows.withColumn("ratio", F.col("failures") / F.col("processed")).withColumn("stop", (F.col("processed") >= least) & (F.col("ratio") >= ratio))
-
-
 def fallback_rollup(rows: DataFrame, key: str = "asset_id", examples: int = 5) -> DataFrame:
     """Per group: how many fell back, the first keys, and the distinct reasons.
 

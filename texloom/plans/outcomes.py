@@ -52,13 +52,6 @@ def failed_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.agg(F.count(F.lit(1)).alias("assets"), F.count_if("bad").alias("failed"), F.count_if(~F.col("bad")).alias("passed"), F.sum("errors").alias("errors"))
 
 
-@query(RES + "SELECT phase, event_id, count(*) OVER w AS processed, CAST(count_if(failed) OVER w AS BIGINT) AS failures, round(count_if(failed) OVER w / CAST(count(*) OVER w AS DOUBLE), 6) AS ratio, count(*) OVER w >= 10 AND count_if(failed) OVER w / CAST(count(*) OVER w AS DOUBLE) >= 0.08 AS stop FROM v_results WINDOW w AS (PARTITION BY phase, asset_id % 32 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
-def failure_ratio_running(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per phase and worker, so that no task sorts a whole phase."""
-    rows = V.results(spark, sf_dir).withColumn("worker", F.col("asset_id") % 32)
-    return R.failure_ratio(rows, ("phase", "worker"), ("ts", "event_id"), 0.08).select("phase", "event_id", "processed", "failures", F.round("ratio", 6).alias("ratio"), "stop")
-
-
 @query(RES + """SELECT phase, n, reasons, examples FROM (SELECT phase, count(*) AS n, string_agg(DISTINCT kind, '; ' ORDER BY kind) AS reasons FROM v_results WHERE failed GROUP BY phase)
   JOIN (SELECT phase, string_agg(CAST(asset_id AS VARCHAR), ', ' ORDER BY asset_id) AS examples FROM (SELECT phase, asset_id, row_number() OVER (PARTITION BY phase ORDER BY asset_id) AS r FROM (SELECT DISTINCT phase, asset_id FROM v_results WHERE failed)) WHERE r <= 5 GROUP BY phase) USING (phase)""")
 def fallback_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:

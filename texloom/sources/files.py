@@ -85,9 +85,21 @@ def write_manifest(assets: DataFrame, path: str) -> None:
 CHECKPOINT = "config_fingerprint string, last_saved string, completed map<string, struct<hash: string, phases: array<string>>>"
 
 
-def read_checkpoint(spark: SparkSession, path: str, mark: str) -> DataFrame:
-    """(filepath, hash, phase, fingerprint) of a checkpoint document; nothing if it is malformed or of another configuration."""
-    text = spark.read.text(path, wholetext=True)
+def write_checkpoint(done: DataFrame, path: str) -> None:
+    """State rows (filepath, hash, phase, fingerprint) as documents of one asset each, a line for each; the old state is replaced.
+
+    Files of a task appear when the write is committed, so a lost task leaves no half state.
+    """
+    entry = F.struct("hash", F.col("phases"))
+    per = done.groupBy("fingerprint", "filepath", "hash").agg(F.array_sort(F.collect_set("phase")).alias("phases"))
+    doc = F.struct(F.col("fingerprint").alias("config_fingerprint"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("last_saved"), F.create_map(F.col("filepath"), entry).alias("completed"))
+    per.select(F.to_json(doc).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_checkpoint(spark: SparkSession, path: str, mark: str, lines: bool = False) -> DataFrame:
+    """(filepath, hash, phase, fingerprint) of a checkpoint document (or of ``lines``, each one); nothing from what is malformed
+    or of another configuration."""
+    text = spark.read.text(path, wholetext=not lines)
     doc = text.select(F.from_json("value", CHECKPOINT).alias("d")).where(F.col("d.config_fingerprint") == F.lit(mark))
     rows = doc.select("d.config_fingerprint", F.explode("d.completed").alias("filepath", "e")).where(F.col("e.hash").isNotNull())
     return rows.select("filepath", "e.hash", F.explode("e.phases").alias("phase"), F.col("config_fingerprint").alias("fingerprint"))
