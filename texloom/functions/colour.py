@@ -17,19 +17,19 @@ def _xyz(rows: tuple[tuple[float, ...], ...], parts: list[Column]) -> list[Colum
 
 
 def to_lab(r: Column, g: Column, b: Column) -> Column:
-    """struct(l, a, b) of sRGB values, each on the scale 0 to 255 (not rounded)."""
-    x, y, z = (v / w for v, w in zip(_xyz(T.RGB_TO_XYZ, [to_linear(c) for c in (r, g, b)]), T.WHITE, strict=True))
+    """struct(l, a, b) of sRGB values, each on the scale 0 to 255 (not rounded). Each step is bound once, as it is used several times."""
     f = lambda t: F.when(t > 0.008856, F.cbrt(t)).otherwise(7.787 * t + 16 / 116)
-    return F.struct(((116 * f(y) - 16) * 2.55).alias("l"), (500 * (f(x) - f(y)) + 128).alias("a"), (200 * (f(y) - f(z)) + 128).alias("b"))
+    white = lambda v: F.array(*[x / w for x, w in zip(_xyz(T.RGB_TO_XYZ, [v[k] for k in range(3)]), T.WHITE, strict=True)])
+    lab = lambda t: F.struct(((116 * t[1] - 16) * 2.55).alias("l"), (500 * (t[0] - t[1]) + 128).alias("a"), (200 * (t[1] - t[2]) + 128).alias("b"))
+    return let(F.transform(let(F.transform(F.array(r, g, b), to_linear), white), f), lab)
 
 
 def from_lab(lab: Column) -> Column:
     """array of sRGB values in [0, 1]."""
-    fy = (lab["l"] / 2.55 + 16) / 116
-    fx, fz = fy + (lab["a"] - 128) / 500, fy - (lab["b"] - 128) / 200
     back = lambda t: F.when(t * t * t > 0.008856, t * t * t).otherwise((t - 16 / 116) / 7.787)
-    xyz = [back(t) * w for t, w in zip((fx, fy, fz), T.WHITE, strict=True)]
-    return F.array(*[to_srgb(clip(c)) for c in _xyz(T.XYZ_TO_RGB, xyz)])
+    third = lambda v: F.array((v["l"] / 2.55 + 16) / 116 + (v["a"] - 128) / 500, (v["l"] / 2.55 + 16) / 116, (v["l"] / 2.55 + 16) / 116 - (v["b"] - 128) / 200)
+    rgb = lambda t: F.array(*_xyz(T.XYZ_TO_RGB, [t[k] * w for k, w in enumerate(T.WHITE)]))
+    return F.transform(let(F.transform(let(lab, third), back), rgb), to_srgb)
 
 
 def transferred(lab: Column, mean: Column, std: Column, ref_mean: Column, ref_std: Column, strength: float = 0.35) -> Column:
@@ -79,16 +79,16 @@ def graded(r: Column, g: Column, b: Column, category: Column, s: Grading) -> Col
     gamma = F.greatest(F.coalesce(material_value(s.gamma_by, category), F.lit(s.gamma)), F.lit(1e-3))
     sat = F.lit(s.saturation) * F.coalesce(material_value(s.saturation_by, category), F.lit(1.0))
     scale = (1 + 0.18 * wb, 1 - 0.06 * F.abs(wb), 1 - 0.18 * wb)
-    lit = [F.pow(clip(to_linear(c) * k * gain), gamma) for c, k in zip((r, g, b), scale, strict=True)]
+    light = F.transform(F.array(r, g, b), to_linear)
 
     def finish(parts: Column) -> Column:
         luma = bt709(parts[0], parts[1], parts[2])
         out = [clip(luma + (parts[k] - luma) * sat) for k in range(3)]
         if s.clamp and s.clamp[0] < s.clamp[1]:
             out = [clip(x, *s.clamp) for x in out]
-        return F.array(*[to_srgb(x) for x in out])
+        return F.transform(F.array(*out), to_srgb)
 
-    return let(F.array(*lit), finish)
+    return let(let(light, lambda v: F.array(*[F.pow(clip(v[j] * k * gain), gamma) for j, k in enumerate(scale)])), finish)
 
 
 def layout_of(preset: str, custom: Mapping[str, str] | None = None, channels: tuple[str, str, str, str] = ("ao", "roughness", "metalness", "none")) -> tuple[str, ...]:

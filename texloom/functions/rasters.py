@@ -30,7 +30,7 @@ def mean(a: Column) -> Column:
 
 def deviation(a: Column) -> Column:
     """Population standard deviation."""
-    return let(mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)))
+    return let(a, lambda a: let(mean(a), lambda m: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a))))
 
 
 def percentile(a: Column, q: float) -> Column:

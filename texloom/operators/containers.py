@@ -64,6 +64,10 @@ def dds_issues(raw: Column, require_mips: bool = False, expected_codec: Column |
 
     With ``expected_codec``, another codec or none is an issue too.
     """
+    return let(raw, lambda r: _dds_issues(r, require_mips, expected_codec))
+
+
+def _dds_issues(raw: Column, require_mips: bool, expected_codec: Column | None) -> Column:
     flags, caps, mips = little(raw, 8), little(raw, 108), little(raw, 28)
     side = F.greatest(little(raw, 12), little(raw, 16))
     has = lambda number, bits: number.bitwiseAND(F.lit(bits)) == bits
@@ -101,6 +105,10 @@ def srgb_mismatch(raw: Column, kind: Column) -> Column:
 
 def ktx2_levels(raw: Column) -> Column:
     """The level index: array of struct(level, offset, length, raw_length); null if it does not lie within the file."""
+    return let(raw, _levels)
+
+
+def _levels(raw: Column) -> Column:
     count = little(raw, 40)
     at = lambda k, place: little_at(raw, F.lit(80) + 24 * k + place, 8)
     whole = (count > 0) & (F.length(raw) >= 80 + 24 * count)
@@ -110,6 +118,10 @@ def ktx2_levels(raw: Column) -> Column:
 
 def ktx2_issues(raw: Column, require_mips: bool = False) -> Column:
     """Names of failed checks, in order; one for each bad level. What needs a sound header is left out without one."""
+    return let(raw, lambda r: _ktx2_issues(r, require_mips))
+
+
+def _ktx2_issues(raw: Column, require_mips: bool) -> Column:
     width, height, faces, levels = (little(raw, k) for k in (20, 24, 36, 40))
     head = [("ktx2_dimensions", width == 0), ("ktx2_dimensions", height == 0), ("ktx2_face_count", ~faces.isin(1, 6)), ("ktx2_level_count", levels == 0)]
     chain = [("ktx2_mipchain", F.lit(require_mips) & (F.greatest(width, height) > 1) & (levels == 1)), ("ktx2_level_index", F.length(raw) < 80 + 24 * levels)]

@@ -25,7 +25,7 @@ def findings(tests: dict[str, Column]) -> Column:
 
 def added(found: Column, more: Column) -> Column:
     """Entries of ``more`` that are not yet in ``found`` go behind it, in order."""
-    return F.concat(found, F.filter(F.array_distinct(more), lambda x: ~F.array_contains(found, x)))
+    return P.let(found, lambda f: F.concat(f, F.filter(F.array_distinct(more), lambda x: ~F.array_contains(f, x))))
 
 
 @dataclass(frozen=True)
@@ -53,7 +53,8 @@ def normal_map(n: Column, s: Validation) -> Check:
     """``n``: decoded vectors struct(x, y, z). More than 1% non-finite, of wrong length or turned away is an error."""
     off = lambda v: F.abs(F.sqrt(v["x"] * v["x"] + v["y"] * v["y"] + v["z"] * v["z"]) - 1.0) > s.normal_tolerance
     odd = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    return Check(findings({"normal_not_finite": F.exists(n, lambda v: odd(v["x"]) | odd(v["y"]) | odd(v["z"])), "normal_non_unit": P.share(n, off) > 0.01, "normal_negative_z": P.share(n, lambda v: v["z"] < 0) > 0.01}), none())
+    found = lambda n: findings({"normal_not_finite": F.exists(n, lambda v: odd(v["x"]) | odd(v["y"]) | odd(v["z"])), "normal_non_unit": P.share(n, off) > 0.01, "normal_negative_z": P.share(n, lambda v: v["z"] < 0) > 0.01})
+    return Check(P.let(n, found), none())
 
 
 def quality(name: Column, width: Column, height: Column, std: Column) -> Check:
@@ -114,10 +115,9 @@ def reported(rows: DataFrame, own: list[Check], unique: list[Check]) -> DataFram
     errors, warnings = none(), none()
     for c in own:
         errors, warnings = F.concat(errors, c.errors), added(warnings, c.warnings)
-    # One projection for each step, so that a list is worked out once.
-    rows = rows.withColumns({"errors": errors, "warnings": warnings})
     for c in unique:
-        rows = rows.withColumns({"errors": added(F.col("errors"), c.errors), "warnings": added(F.col("warnings"), c.warnings)})
+        errors, warnings = added(errors, c.errors), added(warnings, c.warnings)
+    rows = rows.withColumns({"errors": errors, "warnings": warnings})
     return rows.withColumn("passed", F.size("errors") == 0)
 
 
