@@ -163,3 +163,31 @@ def test_running_failures_do_not_depend_on_spans(spark):
 def test_lists_are_joined_in_order(spark):
     df = spark.createDataFrame([(["b", "a"], ["a", "c", "c", "b"])], "x array<string>, y array<string>")
     assert df.select(validation.added(F.col("x"), F.col("y"))).first()[0] == ["b", "a", "c"]
+
+
+def test_spheres_are_lit_from_their_lights():
+    from texloom.operators import previews
+
+    grey = np.full((8, 8, 3), 0.5)
+    panels = previews.lit_sphere(grey, side=33)
+    assert panels.shape == (33, 132, 3) and (panels >= 0).all() and (panels <= 1).all() and (panels[0, 0] == 0).all()
+    right, left = panels[:, :33].mean(-1), panels[:, 33:66].mean(-1)
+    assert right[:, 17:].mean() > right[:, :16].mean() and left[:, :16].mean() > left[:, 17:].mean()
+    flat = previews.lit_sphere(grey, normal=np.full((8, 8, 3), [0.5, 0.5, 1.0]), side=33)
+    assert np.allclose(flat, panels, atol=1e-6)
+    assert previews.lit_sphere(grey, roughness=np.full((8, 8), 0.1), side=33).max() > previews.lit_sphere(grey, roughness=np.ones((8, 8)), side=33).max()
+    assert (previews.heat(grey, grey) == 0).all() and previews.side_by_side(np.zeros((2, 2, 3)), grey).shape == (8, 18, 3)
+
+
+def test_runs_are_cut_short(spark):
+    import threading
+
+    assert runs.guarded(spark, lambda: spark.range(10).count(), seconds=60) == 10
+    slow = lambda: spark.range(8).select(F.expr("reflect('java.lang.Thread', 'sleep', 20000L)")).collect()
+    with pytest.raises(runs.Cancelled):
+        runs.guarded(spark, slow, seconds=1)
+    stop = threading.Event()
+    stop.set()
+    with pytest.raises(runs.Cancelled):
+        runs.guarded(spark, slow, cancel=stop)
+    assert spark.range(5).count() == 5 and runs.progress(spark) == (0, 0)

@@ -50,9 +50,10 @@ def path_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("asset_id", "suffix", C.output_path(C.normal_path(F.col("filepath")), "out", F.col("suffix"), F.lit(".png")).alias("path"))
 
 
-@query()
+@query("""SELECT DISTINCT page_id, array_to_string(list_reduce(list_transform(list_filter(string_split('./a/../' || regexp_replace(url, '^[a-z]+://', '') || '/x/.././y', '/'), lambda x: x NOT IN ('', '.')), lambda x: [x]),
+  lambda acc, x: CASE WHEN x[1] = '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, x) END), '/') AS path FROM pages""")
 def path_folding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Urls as paths; dots are folded. No SQL: the fold keeps a stack."""
+    """Urls as paths; dots are folded."""
     url = F.regexp_replace("url", "^[a-z]+://", "")
     odd = F.concat(F.lit("./a/../"), url, F.lit("/x/.././y"))
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", C.normal_path(odd).alias("path")).distinct()
@@ -78,9 +79,11 @@ def target_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.assets(spark, sf_dir).select("asset_id", t["h"].alias("keep_h"), t["w"].alias("keep_w"), C.nearest_power(F.col("width")).alias("near_w"))
 
 
-@query()
+@query(WITH + """, i AS (SELECT *, greatest(height, width) / greatest(least(height, width), 1)::DOUBLE AS ratio, CAST(greatest(round_even(least(height, width) * (2048.0::DOUBLE / greatest(height, width)), 0), 1) AS INT) AS ideal FROM v_assets),
+ m AS (SELECT *, CASE WHEN ideal <= 1 THEN 1 WHEN abs(2048.0::DOUBLE / (1 << CAST(floor(log2(ideal)) AS INT)) - ratio) <= abs(2048.0::DOUBLE / (2 << CAST(floor(log2(ideal)) AS INT)) - ratio) THEN 1 << CAST(floor(log2(ideal)) AS INT) ELSE 2 << CAST(floor(log2(ideal)) AS INT) END AS minor FROM i)
+ SELECT asset_id, width, height, CAST(CASE WHEN height >= width THEN 2048 ELSE minor END AS INT) AS target_h, CAST(CASE WHEN height >= width THEN minor ELSE 2048 END AS INT) AS target_w FROM m""")
 def target_dims_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F23 with both sides powers of two; held against Python in tests."""
+    """F23 with both sides powers of two."""
     t = C.target_size(F.col("height"), F.col("width"), 2048, powers=True)
     return V.assets(spark, sf_dir).select("asset_id", "width", "height", t["h"].alias("target_h"), t["w"].alias("target_w"))
 

@@ -10,6 +10,7 @@ from texloom.functions import kernels as K
 from texloom.functions import tables as T
 from texloom.operators import containers as B
 from texloom.operators import phases as H
+from texloom.operators import previews as W
 from texloom.plans import views as V
 from texloom.plans.catalogue import WITH
 from texloom.plans.registry import query
@@ -66,6 +67,17 @@ def finishing_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.derive(_rasters(spark, sf_dir), make, 4, 4, 4, ("seamless", "emissive", "envmask", "roughness_aa", "detail", "graded", "doubled"))
 
 
+@query()
+def review_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lit sphere, before and after, and the heat of their difference, for 4 x 4 colour rasters."""
+
+    def make(a: np.ndarray, material: str) -> dict[str, np.ndarray]:
+        rgb, after = a[..., :3], K.resize(a[..., :3], 8, 8, "cubic")
+        return {"sphere": W.lit_sphere(rgb, H.normals(a[..., 3]), a[..., 1], a[..., 2], 16), "strip": W.side_by_side(rgb, after), "heat": W.heat(rgb, after)}
+
+    return H.derive(_rasters(spark, sf_dir), make, 4, 4, 4, ("sphere", "strip", "heat"))
+
+
 @query()
 def mip_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Levels of 8 x 8 rasters as colour, roughness, mask and normal maps."""

@@ -171,3 +171,13 @@ def paths_under(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     path = F.when(k % 4 == 0, "/in/tex").when(k % 4 == 1, F.concat(F.lit("/in/tex/"), F.col("p_name"))).when(k % 4 == 2, F.concat(F.lit("/in/textures/"), F.col("p_name"))).otherwise("/etc/passwd")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), R.under(path, "/in/tex/").alias("inside"))
+
+
+@query("""SELECT p_partkey AS k, CAST(CASE WHEN t0::BIGINT * t0 * 3600 / 1048576.0 <= free OR t0 <= 128 THEN t0 WHEN (t0 // 2)::BIGINT * (t0 // 2) * 3600 / 1048576.0 <= free OR t0 // 2 <= 128 THEN greatest(t0 // 2, 128) WHEN (t0 // 4)::BIGINT * (t0 // 4) * 3600 / 1048576.0 <= free OR t0 // 4 <= 128 THEN greatest(t0 // 4, 128)
+  ELSE greatest(t0 // 8, 128) END AS INT) AS tile, CAST(CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 9 ELSE 0 END AS INT) AS device FROM (SELECT p_partkey, 1 << CAST(7 + p_size % 4 AS INT) AS t0, p_partkey % 400 * 10 AS free FROM part)""")
+def tile_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles that fit into free memory, 128 at least; the number in a device's name."""
+    k = F.col("p_partkey")
+    tile = F.call_function("shiftleft", F.lit(1), (7 + F.col("p_size") % 4).cast("int"))
+    device = F.when(k % 2 == 0, F.concat(F.lit("cuda:"), (k % 9).cast("string"))).otherwise(F.lit("cuda"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(k.alias("k"), R.tile_size(tile, F.lit(128), k % 400 * 10).alias("tile"), R.device_index(device).alias("device"))
