@@ -183,7 +183,7 @@ def test_runs_are_cut_short(spark):
     import threading
 
     assert runs.guarded(spark, lambda: spark.range(10).count(), seconds=60) == 10
-    slow = lambda: spark.range(8).select(F.expr("reflect('java.lang.Thread', 'sleep', 20000L)")).collect()
+    slow = lambda: spark.range(8).select(F.expr("reflect('java.lang.Thread', 'sleep', 4000L)")).collect()
     with pytest.raises(runs.Cancelled):
         runs.guarded(spark, slow, seconds=1)
     stop = threading.Event()
