@@ -39,37 +39,50 @@ def compress(ids: np.ndarray, most_rules: int = 4096, least_count: int = 8) -> t
     if len(ids) and int(ids.max()) >= BASE:
         raise ValueError(f"id {int(ids.max())} is not below {BASE}")
     seq, rules = ids.astype(np.int64), []
-    top = BASE
+    top, newest = BASE, 0
+    # A pair's place in tables by hash.
+    spread = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    place, frequent = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, bool)
     # Each round shortens the sequence, so there are fewer rules than ids.
     while len(seq) > 1:
         code = (seq[:-1] << SYMBOL_BITS) | seq[1:]
+        # A pair without a new symbol occurs no more often than before: only those that were frequent can be.
+        new = seq >= newest
+        where = np.flatnonzero(new[:-1] | new[1:] | frequent[spread(code)]) if newest else np.arange(len(code))
+        code = code[where]
         ordered = np.sort(code)
-        edges = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
         counts = np.diff(np.append(edges, len(ordered)))
         often = np.flatnonzero(counts >= least_count)
         if not len(often):
             break
+        frequent[:] = False
+        frequent[spread(ordered[edges[often]])] = True
         often = often[np.argsort(-counts[often], kind="stable")[:most_rules]]
         chosen = ordered[edges[often]]
-        # A pair's place in a table by hash; where two pairs meet, the later is left for another round.
-        spread = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        place = np.zeros(1 << TABLE_BITS, np.int32)
+        # Where two chosen pairs meet in the table, the later is left for another round.
+        place[:] = 0
         place[spread(chosen)[::-1]] = np.arange(len(chosen), 0, -1, dtype=np.int32)
         rule = place[spread(code)]
-        at = np.flatnonzero(rule)
-        at = at[chosen[rule[at] - 1] == code[at]]
+        hit = np.flatnonzero(rule)
+        hit = hit[chosen[rule[hit] - 1] == code[hit]]
+        at, rule = where[hit], rule[hit]
         # Overlapping candidates: every second one of a run.
         start = np.concatenate(([True], np.diff(at) > 1))
         first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - first) % 2 == 0]
-        used, number = np.unique(rule[at] - 1, return_inverse=True)
+        kept = (np.arange(len(at)) - first) % 2 == 0
+        at = at[kept]
+        rule = rule[kept] - 1
+        used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
+        number = np.zeros(len(chosen), np.int64)
+        number[used] = np.arange(len(used))
         pairs = chosen[used]
         rules.append(np.stack([pairs >> SYMBOL_BITS, pairs & ((1 << SYMBOL_BITS) - 1)], axis=1))
-        seq[at] = top + number
+        seq[at] = top + number[rule]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        top += len(used)
+        newest, top = top, top + len(used)
     return seq.astype("<u4"), (np.concatenate(rules) if rules else np.zeros((0, 2))).astype("<u4")
 
 
