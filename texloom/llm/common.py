@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,31 @@ def labelled_sample(labels: DataFrame, rows: int, label: str = "quality") -> Dat
     known = known.where(F.col("__id").isNotNull() & F.col("__label").isNotNull() & (fold_of(F.col("__id")) != 0))
     known = known.groupBy("__id").agg(F.min("__label").alias("__label"))
     return known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
+
+
+def give_back() -> None:
+    """Return what this Python worker has freed to the system: workers live on beside an executor's later tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library has no such call
+
+
+def frugal(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives memory back at the end of its task."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run

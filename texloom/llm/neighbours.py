@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texloom.llm.common import fold_of, labelled_sample
+from texloom.llm.common import fold_of, frugal, labelled_sample
 
 PAIRS, BINS = 2048, 12
 FORM = ("distinct_words", "distinct_lines", "word_length", "words", "commonest")
@@ -137,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 3000) -> Space:
                     names=["id", "label", "at", "weights"],
                 )
 
-    found = sorted(rows.mapInArrow(weigh, "id long, label int, at binary, weights binary").collect(), key=lambda r: r["id"])
+    found = sorted(rows.mapInArrow(frugal(weigh), "id long, label int, at binary, weights binary").collect(), key=lambda r: r["id"])
     x = np.zeros((len(found), TERMS), np.float32)
     for row, r in zip(x, found, strict=True):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["weights"], "<f4")
@@ -160,5 +160,5 @@ def score(docs: DataFrame, space: Space, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.scores(texts), pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(vote, "doc_id long, score double")
+    rows = rows.mapInArrow(frugal(vote), "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from texloom.llm.common import frugal
 from texloom.llm.tokens import MOST_CHUNKS, encoder
 
 CAPACITY = 4096
@@ -132,4 +133,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
             yield flush()
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    return rows.mapInArrow(pack, out)
+    return rows.mapInArrow(frugal(pack), out)

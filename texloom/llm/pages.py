@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from texloom.llm.common import frugal, stage
+
 #: A tag after its "<": slash, name, attributes up to ">" or the next "<". Quotes count after "=" only, and only if
 #: closed. No part gives back what it took, so a page is read in one pass whatever it holds.
 TAG = re.compile(r"(/?)([A-Za-z][^\s/<>]*+)((?:[^<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>?")
@@ -291,7 +293,7 @@ def consensus(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
         if sums:
             yield out()
 
-    votes = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(vote, "__host string, __path string, votes double, pages long")
+    votes = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(frugal(vote), "__host string, __path string, votes double, pages long")
     votes = votes.groupBy("__host", "__path").agg(F.round(F.sum("votes"), 6).alias("v"), F.sum("pages").alias("pages"))
     return votes.groupBy("__host").agg(F.min_by("__path", F.struct(-F.col("v"), F.length("__path"), F.col("__path"))).alias("__path"), F.sum("pages").alias("__pages"))
 
@@ -306,8 +308,6 @@ def with_paths(rows: DataFrame, winners: DataFrame, most_hosts: int = MOST_HOSTS
     short = F.length("__path") <= MOST_PATH
     if winners.where(short).count() <= most_hosts and not winners.where(~short).head(1):
         return rows.join(F.broadcast(winners.drop("__pages")), F.col("host") == F.col("__host"), "left").drop("__host")
-    from texloom.llm.common import stage
-
     hot = stage(winners.where(short).orderBy(F.desc("__pages"), "__host").limit(most_hosts).drop("__pages"), "hot_hosts")
     first = rows.join(F.broadcast(hot), F.col("host") == F.col("__host"), "left")
     cold = winners.join(F.broadcast(hot.select("__host")), "__host", "left_anti").drop("__pages")
@@ -320,8 +320,6 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null html gives an empty text; a null or odd url belongs to the host named by the empty string. Repeated
     rows are pages of their own; other columns are not read, whatever their names. An empty table gives no rows.
     """
-    from texloom.llm.common import stage
-
     winners = stage(consensus(pages, url_col, html_col), "host_paths")
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), HOST.pattern, 1))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host)

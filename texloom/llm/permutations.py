@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from texloom.llm.common import stage
+from texloom.llm.common import frugal, stage
 
 PIVOTS, LENGTH = 256, 128
 #: Vectors of a segment at most, and at least where there are tasks to spare.
@@ -221,6 +221,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
                     found = segment.search(number[i : min(b, i + 256)], x[i : min(b, i + 256)].astype(np.float64), k)
                     yield pa.RecordBatch.from_arrays([pa.array(f, t) for f, t in zip(found, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
 
-    found = met.mapInArrow(search, "query_id long, id long, score double")
+    found = met.mapInArrow(frugal(search), "query_id long, id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texloom.llm.common import stage
+from texloom.llm.common import frugal, stage
 from texloom.llm.tokens import encoder
 
 MAGIC = b"TXRP0001"
@@ -221,7 +221,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col:
             yield flush()
 
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
-    return stage(rows.mapInArrow(encode, "part int, block int, start long, n_docs long, n_tokens long, data binary"), "token_blocks")
+    return stage(rows.mapInArrow(frugal(encode), "part int, block int, start long, n_docs long, n_tokens long, data binary"), "token_blocks")
 
 
 def read_token_files(blocks: DataFrame) -> DataFrame:
@@ -246,4 +246,4 @@ def read_token_files(blocks: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return blocks.select("part", "start", "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return blocks.select("part", "start", "data").mapInArrow(frugal(decode), "doc_id long, start long, n_tokens long, ids_crc32 long")

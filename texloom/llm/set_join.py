@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from texloom.llm.common import stage
+from texloom.llm.common import frugal, stage
 from texloom.llm.components import components
 
 WORDS = 5
@@ -232,7 +232,7 @@ def describe(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield flush()
 
-    return docs.mapInArrow(read, "doc_id long, n long, f1 long, f2 long, bits binary, bucket int, keys binary")
+    return docs.mapInArrow(frugal(read), "doc_id long, n long, f1 long, f2 long, bits binary, bucket int, keys binary")
 
 
 def frequent_keys(counted: DataFrame, buckets: int) -> np.ndarray:
@@ -246,7 +246,7 @@ def frequent_keys(counted: DataFrame, buckets: int) -> np.ndarray:
             often = often[np.argsort(-n[often], kind="stable")[:most]]
             yield pa.RecordBatch.from_arrays([pa.array([keys[often].tobytes()], pa.binary())], names=["keys"])
 
-    rows = _dealt(counted, buckets).mapInArrow(count, "keys binary").collect()
+    rows = _dealt(counted, buckets).mapInArrow(frugal(count), "keys binary").collect()
     return np.sort(np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows])) if rows else np.zeros(0, np.uint32)
 
 
@@ -301,7 +301,7 @@ def postings(docs: DataFrame, buckets: int, frequent: np.ndarray) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(post, "bucket int, keys binary, handles binary, sizes binary, places binary")
+    return docs.select("text").mapInArrow(frugal(post), "bucket int, keys binary, handles binary, sizes binary, places binary")
 
 
 def inverted_lists(posted: DataFrame, buckets: int) -> DataFrame:
@@ -344,7 +344,7 @@ def inverted_lists(posted: DataFrame, buckets: int) -> DataFrame:
                     names=["sig", "n", "handles", "sizes"],
                 )
 
-    rows = _dealt(posted, buckets).mapInArrow(merge, "sig long, n long, handles binary, sizes binary")
+    rows = _dealt(posted, buckets).mapInArrow(frugal(merge), "sig long, n long, handles binary, sizes binary")
     return rows.groupBy("sig", "n").agg(F.first("handles").alias("handles"), F.first("sizes").alias("sizes"))
 
 
@@ -369,7 +369,7 @@ def star_pairs(lists: DataFrame) -> DataFrame:
                 seen.update((a, b) for a, b in zip(handles[pivots_of(handles, sizes)].tolist(), handles.tolist(), strict=True) if a != b)
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in seen], pa.int64()), pa.array([p[1] for p in seen], pa.int64())], names=["a", "b"])
 
-    return lists.select("handles", "sizes").mapInArrow(stars, "a long, b long").distinct()
+    return lists.select("handles", "sizes").mapInArrow(frugal(stars), "a long, b long").distinct()
 
 
 def list_members(lists: DataFrame) -> DataFrame:
@@ -387,7 +387,7 @@ def list_members(lists: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "h", "n", "pivot", "pivot_n"])
 
-    return lists.select("sig", "handles", "sizes").mapInArrow(members, "sig long, h long, n long, pivot long, pivot_n long")
+    return lists.select("sig", "handles", "sizes").mapInArrow(frugal(members), "sig long, h long, n long, pivot long, pivot_n long")
 
 
 def derived_bounds(n: int | np.ndarray, m: np.ndarray, with_n: int | np.ndarray, with_m: np.ndarray, pivot_n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -487,7 +487,7 @@ def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
             keep = [linked(most_shared(*p), p[0], p[2]) for p in zip(n, x, m, y, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(bound, "a long, b long")
+    return pairs.select("a", "b", "na", "bitsa", "nb", "bitsb").mapInArrow(frugal(bound), "a long, b long")
 
 
 def overlaps_of(pairs: DataFrame, docs: DataFrame, orphans: DataFrame | None, heads: DataFrame, most_broadcast: int = 400_000) -> DataFrame:
@@ -524,7 +524,7 @@ def overlaps_of(pairs: DataFrame, docs: DataFrame, orphans: DataFrame | None, he
                     found.append((x, y, shared, linked(shared, len(s), len(held))))
             yield pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["a", "b", "shared", "link"])
 
-    return rows.mapInArrow(compare, "a long, b long, shared long, link boolean")
+    return rows.mapInArrow(frugal(compare), "a long, b long, shared long, link boolean")
 
 
 def set_of(text: Column) -> Column:
