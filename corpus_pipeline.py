@@ -61,8 +61,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    # Small tables: Python workers live through all stages and share an executor's memory with them.
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), most_chunks=150_000)
+    # Small tables, not kept: Python workers live through all stages and share an executor's memory with them.
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), most_chunks=50_000, keep_encoder=False)
 
 
 STAGES = [

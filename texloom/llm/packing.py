@@ -85,13 +85,13 @@ def pack_block(sizes: list[int], capacity: int = CAPACITY) -> list[Piece]:
     return pieces
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 21, with_ids: bool = False, most_chunks: int = MOST_CHUNKS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = 1 << 21, with_ids: bool = False, most_chunks: int = MOST_CHUNKS, keep_encoder: bool = True) -> DataFrame:
     """Pieces of packed sequences.
 
     Columns: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (little-endian
     unsigned 32-bit) if asked for. A null text is the end id alone; null ids stay null; repeated rows are
     packed as documents of their own. A sequence id holds its task, block and number. An
-    empty table gives no pieces.
+    empty table gives no pieces. ``keep_encoder``: a worker keeps its tokenizer and table of chunks for its next task.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kinds = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())]
@@ -131,6 +131,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str
                         numbers, held, size = [], [], 0
         if held:
             yield flush()
+        if not keep_encoder:
+            del enc
+            encoder.cache_clear()
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     return rows.mapInArrow(frugal(pack), out)
