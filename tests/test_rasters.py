@@ -184,11 +184,11 @@ def test_dds(spark):
         head[at : at + 4] = v.to_bytes(4, "little")
     head[84:88] = b"DXT1"
     raw = bytes(head) + b"x" * 32
-    df = spark.createDataFrame([(raw,), (b"DDS " + b"\0" * 124,), (b"",), (None,)], "raw binary")
+    df = spark.createDataFrame([(raw,), (b"DDS " + b"\0" * 124,), (b"",), (None,), (b"JUNK" * 40,)], "raw binary")
     m = F.col("m")
     rows = df.select(B.mended_dds(F.col("raw")).alias("m"), B.dds_issues(F.col("raw")).alias("bad")).select(B.little(m, 4), B.little(m, 20), B.little(m, 28), "bad", "m").collect()
     assert tuple(rows[0][:3]) == (124, 32, 1) and rows[0]["m"][128:] == raw[128:]
-    assert {"dds_header", "dds_pixel_format"} <= set(rows[1]["bad"]) and rows[2]["bad"] == ["magic_bytes"]
+    assert {"dds_header", "dds_pixel_format"} <= set(rows[1]["bad"]) and rows[2]["bad"] == ["non_zero_size"] and rows[4]["bad"] == ["magic_bytes"]
     levels = [(1, (0x200).to_bytes(4, "little"))]
     del levels
     one = spark.createDataFrame([([(1, raw[:128] + b"b"), (0, raw[:128] + b"aaaa")],)], "levels array<struct<level:int,raw:binary>>")
