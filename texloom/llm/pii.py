@@ -3,8 +3,8 @@
 The field scores whole candidate segments (up to MOST_TOKENS tokens) of a region around digits
 with features of the span and its left context, one weight vector per type; dynamic programming
 chooses boundaries and types together. It is trained here by maximum likelihood on generated
-sentences (a seeded rule, no corpus), in which negatives are versions, dates, prices
-and plain numbers. Base matches always stay; the field's spans are added where no base span lies.
+sentences (a seeded rule, no corpus), in which negatives are versions, dates, prices,
+plain numbers and numbers as long as a card's that fail its check digit. Base matches always stay; the field's spans are added where no base span lies.
 """
 
 from __future__ import annotations
@@ -183,8 +183,15 @@ def generated(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     def card() -> str:
         d = number(r.choice((13, 15, 16, 16, 16)) - 1)
         d += next(c for c in "0123456789" if luhn(d + c))
+        return grouped(d)
+
+    def grouped(d: str) -> str:
         return d if r.random() < 0.6 or len(d) != 16 else r.choice(" -").join(d[i : i + 4] for i in range(0, 16, 4))
 
+    def no_card() -> str:
+        d = number(r.choice((13, 15, 16, 16, 16, 19)) - 1)
+        return grouped(d + next(c for c in r.sample("0123456789", 10) if not luhn(d + c)))
+
     def email() -> str:
         return f"{word()}{r.choice(('', '.', '_'))}{r.choice((word(), number(2)))}@{word()}{r.choice(('', number(1)))}.{r.choice(('example', word()))}.{r.choice(('com', 'org', 'net'))}"
 
@@ -201,7 +208,7 @@ def generated(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     nothing = (
         lambda: f"Version {r.randint(1, 9)}.{r.randint(0, 9)}.{number(4)}", lambda: f"20{number(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", lambda: f"${number(2)},{number(3)}.{number(2)}",
         lambda: number(r.randint(4, 12)), lambda: f"{number(4)} {number(4)}", lambda: f"19{number(2)}-19{number(2)}", lambda: f"page {number(4)}", lambda: f"{word()}{number(4)}", lambda: f"{word()}-{number(5)}",
-        lambda: f"{number(1)}.{number(4)}", lambda: f"no. {number(6)}", lambda: f"{number(2)}.{number(2)}.{number(4)}",
+        lambda: f"{number(1)}.{number(4)}", lambda: f"no. {number(6)}", lambda: f"{number(2)}.{number(2)}.{number(4)}", no_card, no_card,
     )
     out = []
     for _ in range(n):
