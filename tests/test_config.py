@@ -45,7 +45,7 @@ def test_each_choice(path):
 
 @pytest.mark.parametrize("path, value, word", [
     ("validation.metalness_metal_min_mean", 0.1, "nonmetal"), ("upscale.hero_resolution", 1024, "hero"), ("upscale.tile_pad", 256, "tile_pad"), ("parallax.max_samples", 4, "max_samples"), ("grading.plausible_albedo_min", 0.9, "plausible"),
-    ("specular_aa.kernel_size", 4, "even"), ("packing.g_channel", "ao", "two channels"), ("packing.output_suffix", "", "suffix"),
+    ("specular_aa.kernel_size", 4, "even"), ("packing.g_channel", "ao", "two channels"), ("packing.output_suffix", "", "suffix"), ("validation.fail_score", 0.9, "above warn_score"),
 ])
 def test_each_clash(path, value, word):
     s = config.Settings()
