@@ -41,6 +41,30 @@ def test_powers_and_sizes(spark):
     del n
 
 
+def _same_as_sql(spark, folder, name, rows):
+    """A query and its SQL on parts of large keys, where the largest unit is reached."""
+    import duckdb
+
+    from texloom.plans.all import QUERIES, SQL
+
+    duck = duckdb.connect()
+    duck.execute(f"COPY (SELECT CAST(k AS BIGINT) AS p_partkey, CAST(s AS INT) AS p_size FROM (VALUES {', '.join(map(str, rows))}) v(k, s)) TO '{folder}/part.parquet'")
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet'")
+    mine, theirs = QUERIES[name](spark, str(folder)).collect(), duck.execute(SQL[name]).fetchall()
+    assert sorted(map(tuple, mine)) == sorted(theirs)
+    return [r[1] for r in sorted(theirs)]
+
+
+def test_human_sizes_beyond_a_tebibyte_are_those_of_the_sql(spark, tmp_path):
+    found = _same_as_sql(spark, tmp_path, "human_sizes", [(3, 7), (900, 40), (20_000, 50), (148_398, 50), (1_199_999, 50)])
+    assert found[3] == "1025.48 GiB" and found[4].endswith(" GiB")
+
+
+@pytest.mark.parametrize("largest, want", [("KiB", "5242880.00 KiB"), ("MiB", "5120.00 MiB"), ("GiB", "5.00 GiB"), ("TiB", "5.00 GiB")])
+def test_largest_unit(spark, largest, want):
+    assert values(spark, lambda a: C.human_bytes(a.cast("long"), largest), [str(5 << 30), "1023"]) == [want, "1023 B"]
+
+
 @pytest.mark.parametrize("h, w, res, want", [(768, 1024, 2048, (1536, 2048)), (512, 1024, 2048, (1024, 2048)), (100, 60, 256, (256, 154))])
 def test_target_size(spark, h, w, res, want):
     r = spark.range(1).select(C.target_size(F.lit(h), F.lit(w), res).alias("t")).first()["t"]

@@ -87,13 +87,14 @@ def safe_tag(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[^0-9A-Za-z]", "_"), "^_+|_+$", "")
 
 
-def human_bytes(n: Column) -> Column:
-    """B whole, larger units with two decimals, up to TiB; negative: n/a."""
+def human_bytes(n: Column, largest: str = "TiB") -> Column:
+    """B whole, larger units with two decimals, up to ``largest`` (KiB to TiB); negative: n/a."""
     units = ("KiB", "MiB", "GiB", "TiB")
+    units = units[: units.index(largest) + 1]
     case = F.when(n < 0, F.lit("n/a")).when(n < 1024, F.concat(n.cast("string"), F.lit(" B")))
     for k, unit in enumerate(units, 1):
         value = F.concat(F.format_string("%.2f", F.bround(n / float(1 << 10 * k), 2)), F.lit(f" {unit}"))
-        case = case.when(n < 1 << 10 * (k + 1), value) if unit != "TiB" else case.otherwise(value)
+        case = case.when(n < 1 << 10 * (k + 1), value) if unit != largest else case.otherwise(value)
     return case
 
 
