@@ -60,6 +60,17 @@ def test_human_sizes_beyond_a_tebibyte_are_those_of_the_sql(spark, tmp_path):
     assert found[3] == "1025.48 GiB" and found[4].endswith(" GiB")
 
 
+def test_size_changes_beyond_a_gibibyte_are_those_of_the_sql(spark, tmp_path):
+    found = _same_as_sql(spark, tmp_path, "size_changes", [(3, 7), (20_000, 50), (580_417, 50), (1_199_999, 1), (1_199_999, 50), (1_199_985, 9)])
+    assert found[2] == "size=553.53 MiB->1024.03 MiB (+470.50 MiB, +85.0%)" and " GiB" not in "".join(found)
+
+
+def test_size_change_goes_up_to_the_unit_asked_for(spark):
+    text = lambda *u: values(spark, lambda a: C.size_change(F.lit(1 << 20), a.cast("long"), *u), [str(5 << 30)])
+    assert text() == ["size=1.00 MiB->5.00 GiB (+5.00 GiB, +511900.0%)"]
+    assert text("MiB") == ["size=1.00 MiB->5120.00 MiB (+5119.00 MiB, +511900.0%)"]
+
+
 @pytest.mark.parametrize("largest, want", [("KiB", "5242880.00 KiB"), ("MiB", "5120.00 MiB"), ("GiB", "5.00 GiB"), ("TiB", "5.00 GiB")])
 def test_largest_unit(spark, largest, want):
     assert values(spark, lambda a: C.human_bytes(a.cast("long"), largest), [str(5 << 30), "1023"]) == [want, "1023 B"]

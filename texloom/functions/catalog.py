@@ -98,10 +98,11 @@ def human_bytes(n: Column, largest: str = "TiB") -> Column:
     return case
 
 
-def size_change(before: Column, after: Column) -> Column:
+def size_change(before: Column, after: Column, largest: str = "TiB") -> Column:
+    """Sizes in units up to ``largest``, the difference and its share; n/a if either is unknown (negative)."""
     delta = after - before
-    text = F.concat(F.when(delta >= 0, "+").otherwise("-"), human_bytes(F.abs(delta)))
-    sizes = F.concat(F.lit("size="), human_bytes(before), F.lit("->"), human_bytes(after))
+    text = F.concat(F.when(delta >= 0, "+").otherwise("-"), human_bytes(F.abs(delta), largest))
+    sizes = F.concat(F.lit("size="), human_bytes(before, largest), F.lit("->"), human_bytes(after, largest))
     percent = F.when(before > 0, F.concat(F.lit(", "), F.format_string("%+.1f", F.bround(delta / before * 100.0, 1)), F.lit("%"))).otherwise("")
     return F.when((before < 0) | (after < 0), F.lit("size=n/a")).otherwise(F.concat(sizes, F.lit(" ("), text, percent, F.lit(")")))
 
