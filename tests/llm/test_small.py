@@ -382,6 +382,50 @@ def test_derived_links_and_misses():
     assert sorted(zip(*far)) == [(1, 3, True)] and sorted(zip(*unknown)) == [(1, 2, False), (1, 3, False), (2, 3, False)]
 
 
+@pytest.mark.parametrize("chunk, first", [(512, 8), (8, 8), (8, 1)])
+def test_a_pair_of_many_lists_is_made_once(spark, monkeypatch, chunk, first):
+    """Near copies beyond the bound of a link share many lists; with few known lists a pair may be made again, never lost."""
+    import random
+
+    from pyspark.sql import GroupedData
+
+    r = random.Random(5)
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(60):
+        t = list(base)
+        for j in r.sample(range(150), r.choice((1, 3, 4, 5))):
+            t[j] = f"c{k}_{j}"
+        rows.append((k, " ".join(t)))
+    made, plain = [], GroupedData.applyInArrow
+
+    def counted(groups, f, schema):
+        out = plain(groups, f, schema)
+        if "sure" not in schema:
+            return out
+        out = set_join.stage(out, "made")
+        made.append((out.count(), out.select("a", "b").distinct().count()))
+        return out
+
+    monkeypatch.setattr(GroupedData, "applyInArrow", counted)
+    monkeypatch.setattr(set_join, "CHUNK", chunk)
+    monkeypatch.setattr(set_join, "FIRST", first, raising=False)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in set_join.join_sets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute_components(rows)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 60
+    assert sum(d for _, d in made) > 20
+    if first > 1:
+        assert all(n <= 1.2 * d for n, d in made)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(-200, 200), st.lists(st.sets(st.integers(-200, 200), min_size=1, max_size=8), min_size=1, max_size=40))
+def test_rows_meet_earlier_if_they_know_a_common_earlier_list(sig, known):
+    bits = set_join.earlier_lists(sig, [np.array(sorted(k), np.int64) for k in known])
+    for i, x in enumerate(known):
+        for j in range(i):
+            assert (bits[i] & bits[j]).any() == any(k < sig for k in x & known[j])
+
+
 def test_rows_without_an_id_bridge_others(spark):
     words = [f"w{k}" for k in range(100)]
     texts = [words, [*words[:-9], *"abcdefghi"], [*words[:-9], *"abcdefghi"][9:] + [f"z{k}" for k in range(4)]]

@@ -18,6 +18,8 @@
    what both share with the pivot, and what each has beside it, bound their intersection from above and
    below, so a pair that cannot be a link goes and one that must be is taken, both without reading a text.
    Only what bitmaps and bounds leave open is verified.
+   A pair that many lists hold is made by the first of them: each set knows its FIRST lists of least
+   signature, and where two sets have one of these in common, no later list makes their pair.
 
 Postings travel as packed arrays, so neither the JVM nor Python handles a row for each.
 """
@@ -42,6 +44,8 @@ COUNTED = 0.3
 FREQUENT, MOST_FREQUENT = 32, 1 << 20
 #: Rounds in which each component of a list tries its BEST pairs only, before the round that tries all.
 BEST, BEST_ROUNDS = 3, 1
+#: Lists of least signature that each set knows, by which a pair of many lists is made once.
+FIRST = 8
 #: Members of a list that one task compares; pairs of one pivot that one group verifies.
 CHUNK, PIVOT_GROUP = 512, 512
 FLUSH = 1 << 19
@@ -390,16 +394,35 @@ def list_members(lists: DataFrame) -> DataFrame:
     return lists.select("sig", "handles", "sizes").mapInArrow(frugal(members), "sig long, h long, n long, pivot long, pivot_n long")
 
 
+def with_first_lists(heads: DataFrame, members: DataFrame) -> DataFrame:
+    """h, bits, first: of each set in a list, its bitmap and the least signatures of its lists, in order."""
+    first = members.groupBy("h").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST).alias("first"))
+    return first.join(heads.select(F.col("f1").alias("h"), "bits"), "h").select("h", "bits", "first")
+
+
+def earlier_lists(sig: int, first: list[np.ndarray]) -> np.ndarray:
+    """One bit for each list before ``sig`` that two rows or more know, as words of 64: rows that share one meet there too."""
+    row, known = np.repeat(np.arange(len(first)), [len(f) for f in first]), np.concatenate(first)
+    row, known = row[known < sig], known[known < sig]
+    _, place, n = np.unique(known, return_inverse=True, return_counts=True)
+    number = np.cumsum(n > 1) - 1
+    row, number = row[n[place] > 1], number[place[n[place] > 1]]
+    out = np.zeros((len(first), 1 + (int(number.max()) >> 6 if len(number) else 0)), np.uint64)
+    np.bitwise_or.at(out, (row, number >> 6), np.uint64(1) << (number & 63).astype(np.uint64))
+    return out
+
+
 def derived_bounds(n: int | np.ndarray, m: np.ndarray, with_n: int | np.ndarray, with_m: np.ndarray, pivot_n: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and most that sets of n and m members can share, from what each shares with a pivot of ``pivot_n`` members."""
     most = np.minimum(with_m + (n - with_n), with_n + (m - with_m))
     return with_n + with_m - pivot_n, most
 
 
-def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes], pivot: np.ndarray, pivot_n: np.ndarray, shared_with: np.ndarray, apart: np.ndarray | None, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes], pivot: np.ndarray, pivot_n: np.ndarray, shared_with: np.ndarray, apart: np.ndarray | None, best: int | None, earlier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows (sorted by n) of different roots, sizes within reach, that bitmaps and the pivot's answer allow, and
     whether the latter makes them links; with ``best``, of the open ones the best few of each root only.
-    ``shared_with``: what a row shares with its pivot, -1 if unknown. ``apart``: rows with equal numbers are compared elsewhere."""
+    ``shared_with``: what a row shares with its pivot, -1 if unknown. ``apart``: rows with equal numbers are compared elsewhere. ``earlier``: bits of
+    earlier lists; a pair that shares one is made there (the best are chosen before, so that each list names the same)."""
     words = np.array([len(b) // 8 for b in bits])
     rows: dict[int, np.ndarray] = {}
     at: dict[int, np.ndarray] = {}
@@ -420,6 +443,8 @@ def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes
         keep = root[to] != root[k]
         if apart is not None:
             keep &= apart[to] != apart[k]
+        if earlier is not None and best is None:
+            keep &= ~(earlier[to] & earlier[k]).any(axis=1)
         to = to[keep]
         if not len(to):
             continue
@@ -450,27 +475,32 @@ def cross_pairs(h: np.ndarray, n: np.ndarray, root: np.ndarray, bits: list[bytes
         first = np.concatenate(([True], of[1:] != of[:-1]))
         rank = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
         chosen = np.union1d(pair[rank < best], np.flatnonzero(certain))
+        if earlier is not None:
+            chosen = chosen[~(earlier[a[chosen]] & earlier[b[chosen]]).any(axis=1)]
         a, b, certain = a[chosen], b[chosen], certain[chosen]
     return h[a], h[b], certain
 
 
-def open_pairs(members: DataFrame, roots: DataFrame, heads: DataFrame, overlaps: DataFrame, best: int | None) -> DataFrame:
+def open_pairs(members: DataFrame, roots: DataFrame, shown: DataFrame, overlaps: DataFrame, best: int | None) -> DataFrame:
     """Pairs (a < b) of a list's members in different components that may be links, and whether they are sure to be."""
     rows = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").withColumn("root", F.coalesce("root", "h"))
     mixed = rows.groupBy("sig").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("k")).where(F.col("r0") != F.col("r1"))
     rows = rows.join(mixed.select("sig", F.ceil(F.col("k") / CHUNK).cast("int").alias("c")), "sig")
     rows = rows.join(overlaps.select(F.col("a").alias("pivot"), F.col("b").alias("h"), "shared"), ["pivot", "h"], "left")
     rows = rows.withColumn("with", F.when(F.col("pivot") == F.col("h"), F.col("n")).otherwise(F.coalesce("shared", F.lit(-1))).cast("long"))
-    rows = rows.join(heads.select(F.col("f1").alias("h"), "bits"), "h")
+    rows = rows.join(shown, "h")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("h"), F.col("c")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "n", "root", "bits", "pivot", "pivot_n", "with")
+    rows = rows.select("sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "h", "n", "root", "bits", "pivot", "pivot_n", "with", "first")
 
     def cross(table: pa.Table) -> pa.Table:
         h, n, root, own, pivot, pivot_n, shared = (table.column(c).to_numpy() for c in ("h", "n", "root", "own", "pivot", "pivot_n", "with"))
         o = np.lexsort((h, n))
         bits = table.column("bits").to_pylist()
+        first = table.column("first").combine_chunks()
+        known, cut = first.flatten().to_numpy(), np.cumsum(first.value_lengths().to_numpy())
+        earlier = earlier_lists(table.column("sig")[0].as_py(), np.split(known, cut[:-1]))
         split = table.column("i")[0].as_py() != table.column("j")[0].as_py()
-        x, y, sure = cross_pairs(h[o], n[o], root[o], [bits[k] for k in o.tolist()], pivot[o], pivot_n[o], shared[o], own[o] if split else None, best)
+        x, y, sure = cross_pairs(h[o], n[o], root[o], [bits[k] for k in o.tolist()], pivot[o], pivot_n[o], shared[o], own[o] if split else None, best, earlier[o])
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": sure})
 
     return rows.groupBy("sig", "i", "j").applyInArrow(cross, "a long, b long, sure boolean").groupBy("a", "b").agg(F.bool_or("sure").alias("sure"))
@@ -564,8 +594,9 @@ def join_sets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = components(links)
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     members = stage(list_members(lists), "list_members")
+    shown = stage(with_first_lists(heads, members), "shown")
     for best in (*[BEST] * BEST_ROUNDS, None):
-        rest = stage(open_pairs(members, roots, heads, overlaps, best).join(known, ["a", "b"], "left_anti"), "open_pairs")
+        rest = stage(open_pairs(members, roots, shown, overlaps, best).join(known, ["a", "b"], "left_anti"), "open_pairs")
         if not rest.head(1):
             continue
         known = known.unionByName(rest.select("a", "b"))
