@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom.llm import mixing, packing, pii, quality_rules, set_join
-from texloom.llm.common import stage, table
+from texloom.llm.common import small_batches, stage, table
 from texloom.llm.queries import tokenizer_path
 
 #: Ids of dropped documents are broadcast up to so many; beyond, the join is shuffled.
@@ -61,8 +61,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens."""
-    # Small tables, not kept: Python workers live through all stages and share an executor's memory with them.
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), most_chunks=50_000, keep_encoder=False)
+    # Small batches and tables, not kept: Python workers live through all stages and share an executor's memory with them.
+    small_batches(spark)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), most_chunks=20_000, keep_encoder=False)
 
 
 STAGES = [

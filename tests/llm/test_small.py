@@ -426,6 +426,31 @@ def test_rows_meet_earlier_if_they_know_a_common_earlier_list(sig, known):
             assert (bits[i] & bits[j]).any() == any(k < sig for k in x & known[j])
 
 
+def test_a_worker_keeps_no_powers_between_tasks():
+    from texloom.llm.common import frugal
+
+    sets = set_join.shingle_sets([b"one two three four five six"])
+    assert len(set_join._POWERS.up) > 1
+    assert list(frugal(lambda batches: (len(set_join._POWERS.up) for _ in batches))(iter([0]))) == [1]
+    again = set_join.shingle_sets([b"one two three four five six"])
+    assert len(again[0]) == 2 and (again[0] == sets[0]).all()
+
+
+def test_packing_sends_texts_to_workers_in_small_batches(spark):
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.createDataFrame([(1, "a b", 3)], "doc_id long, text string, n_chars long")
+    try:
+        for asked, held in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(name, asked)
+            corpus_pipeline.pack_sequences(spark, docs, "")
+            assert spark.conf.get(name) == held
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_rows_without_an_id_bridge_others(spark):
     words = [f"w{k}" for k in range(100)]
     texts = [words, [*words[:-9], *"abcdefghi"], [*words[:-9], *"abcdefghi"][9:] + [f"z{k}" for k in range(4)]]

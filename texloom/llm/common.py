@@ -39,6 +39,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python at most so many a batch, from now on in this session: the JVM and the worker each hold a batch or two."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -61,6 +68,10 @@ def labelled_sample(labels: DataFrame, rows: int, label: str = "quality") -> Dat
     return known.orderBy(F.xxhash64("__id"), "__id").limit(rows)
 
 
+#: Called when memory is given back: what modules keep between batches, but not between tasks.
+KEPT: list[Callable[[], None]] = []
+
+
 def give_back() -> None:
     """Return what this Python worker has freed to the system: workers live on beside an executor's later tasks."""
     import ctypes
@@ -68,6 +79,8 @@ def give_back() -> None:
 
     import pyarrow as pa
 
+    for drop in KEPT:
+        drop()
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -77,10 +90,11 @@ def give_back() -> None:
 
 
 def frugal(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function over batches that gives memory back at the end of its task."""
+    """A function over batches that gives memory back at the end of its task, and first what other functions left in its worker."""
 
     @functools.wraps(f)
     def run(batches: Iterator) -> Iterator:
+        give_back()
         try:
             yield from f(batches)
         finally:

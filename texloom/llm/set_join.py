@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from texloom.llm.common import frugal, stage
+from texloom.llm.common import KEPT, frugal, stage
 from texloom.llm.components import components
 
 WORDS = 5
@@ -67,6 +67,9 @@ class Powers:
     """Powers of an odd number and of its inverse modulo 2^64, as far as needed."""
 
     def __init__(self) -> None:
+        self.drop()
+
+    def drop(self) -> None:
         self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
@@ -80,6 +83,7 @@ class Powers:
 
 
 _POWERS = Powers()
+KEPT.append(_POWERS.drop)
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
