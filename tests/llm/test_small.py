@@ -10,13 +10,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from texloom.llm import components, mixing, neighbours, packing, pages, permutations, pii, quality_rules, repair, set_join, sharding
-from texloom.llm.tokens import ChunkEncoder
+from texloom.llm.tokens import ChunkEncoder, runs_of_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BYTE, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -134,6 +135,35 @@ def test_added_tokens_get_their_ids(path, drops):
     assert [np.frombuffer(b, "<u4").tolist() for b in ChunkEncoder(path, drops).encode(texts)] == [x.tolist() for x in all_ids(path, texts)]
 
 
+ODD = " \n\t\r'.,!ab1ZéÿȠ×Жд—’\x1c\x85\xa0\u1680\u2003\u2028\u205f\u3000今\U0001f600<|>"
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.lists(st.one_of(st.sampled_from([*ODD, "'s", "<|endoftext|>", " a", "\n"]), st.characters(codec="utf-8")), max_size=25).map("".join)), max_size=6))
+def test_columns_encode_as_whole_texts(texts):
+    known = test_columns_encode_as_whole_texts.__dict__
+    enc, library = known.get("both") or known.setdefault("both", (ChunkEncoder(BYTE, False, most_chunks=50), Tokenizer.from_file(BYTE)))
+    want = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for t in texts]
+    assert enc.encode(texts) == want
+    column = pa.array(["x ", *texts, None, " y"])
+    assert enc.encode(column.slice(1, len(texts))) == want
+    batch = pa.record_batch([pa.array(range(len(column))), column], names=["doc_id", "text"])
+    parts = list(runs_of_rows(batch, most=9))
+    assert [b for p in parts for b in enc.encode(p.column(1))] == enc.encode(column) and sum(p.num_rows for p in parts) == len(column)
+
+
+def test_a_word_meets_the_tokenizer_once():
+    enc, calls = ChunkEncoder(BYTE, False), []
+    model, whole = enc.split_words, enc.whole
+    enc.split_words = lambda w: calls.append(w) or model(w)
+    enc.whole = lambda t: calls.append(t) or whole(t)
+    words = [a + b + c + "ét" for a in ("ba", "di", "ko", "lu") for b in ("gre", "sti", "mon", "vla", "xo") for c in ("nel", "tum", "ris", "pha", "qui")]
+    texts = [" ".join(["The", *(f"{a}{w}{b}" for w in words)]) for a, b in (("", ""), ("", ","), ("(", ")"), ("[", "]."), ("#", ""), ("", "?!"), ("", "\nThe"))]
+    assert enc.encode(texts) == [x.tobytes() for x in all_ids(BYTE, texts)]
+    # A word is asked for with and without a space before it; the rest are marks.
+    assert len(calls) <= 2 * len(words) + 12
+
+
 def test_large_ids_are_refused():
     with pytest.raises(ValueError):
         repair.compress(np.array([1, repair.BASE], "<u4"))

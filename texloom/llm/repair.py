@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from texloom.llm.common import frugal, stage
-from texloom.llm.tokens import encoder
+from texloom.llm.tokens import encoder, runs_of_rows
 
 MAGIC = b"TXRP0001"
 #: Nonterminals are numbered from here; ids of terminals are smaller.
@@ -38,51 +38,57 @@ def compress(ids: np.ndarray, most_rules: int = 4096, least_count: int = 8) -> t
     """
     if len(ids) and int(ids.max()) >= BASE:
         raise ValueError(f"id {int(ids.max())} is not below {BASE}")
-    seq, rules = ids.astype(np.int64), []
-    top, newest = BASE, 0
+    seq, rules, top = ids.astype(np.int64), [], BASE
     # A pair's place in tables by hash.
-    spread = lambda c: ((c.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-    place, frequent = np.zeros(1 << TABLE_BITS, np.int32), np.zeros(1 << TABLE_BITS, bool)
+    spread = lambda c: ((c.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).view(np.int64)
+    place = np.zeros(1 << TABLE_BITS, np.int32)
+    # Where pairs begin that may be frequent, in order, and their codes.
+    where = np.arange(len(seq) - 1)
+    code = (seq[:-1] << SYMBOL_BITS) | seq[1:]
     # Each round shortens the sequence, so there are fewer rules than ids.
-    while len(seq) > 1:
-        code = (seq[:-1] << SYMBOL_BITS) | seq[1:]
-        # A pair without a new symbol occurs no more often than before: only those that were frequent can be.
-        new = seq >= newest
-        where = np.flatnonzero(new[:-1] | new[1:] | frequent[spread(code)]) if newest else np.arange(len(code))
-        code = code[where]
+    while len(where):
         ordered = np.sort(code)
-        edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(edges, len(ordered)))
+        edges = np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1))
+        counts = np.diff(edges, append=len(ordered))
         often = np.flatnonzero(counts >= least_count)
         if not len(often):
             break
-        frequent[:] = False
-        frequent[spread(ordered[edges[often]])] = True
+        spot, spots = spread(code), spread(ordered[edges[often]])
         often = often[np.argsort(-counts[often], kind="stable")[:most_rules]]
         chosen = ordered[edges[often]]
+        # The table holds 0 for no pair that is frequent, the number of a rule, or one more for a pair without a rule.
         # Where two chosen pairs meet in the table, the later is left for another round.
-        place[:] = 0
+        place[spots] = len(chosen) + 1
         place[spread(chosen)[::-1]] = np.arange(len(chosen), 0, -1, dtype=np.int32)
-        rule = place[spread(code)]
-        hit = np.flatnonzero(rule)
-        hit = hit[chosen[rule[hit] - 1] == code[hit]]
-        at, rule = where[hit], rule[hit]
+        rule = place.take(spot).astype(np.int64)
+        hit = np.flatnonzero(np.concatenate(([-1], chosen, [-1])).take(rule) == code)
+        frequent = rule != 0
+        at, rule = where.take(hit), rule.take(hit) - 1
         # Overlapping candidates: every second one of a run.
         start = np.concatenate(([True], np.diff(at) > 1))
-        first = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        kept = (np.arange(len(at)) - first) % 2 == 0
-        at = at[kept]
-        rule = rule[kept] - 1
+        order = np.arange(len(at))
+        kept = np.flatnonzero((order - np.maximum.accumulate(order * start)) & 1 == 0)
+        at, rule = at.take(kept), rule.take(kept)
         used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)))
         number = np.zeros(len(chosen), np.int64)
         number[used] = np.arange(len(used))
         pairs = chosen[used]
         rules.append(np.stack([pairs >> SYMBOL_BITS, pairs & ((1 << SYMBOL_BITS) - 1)], axis=1))
         seq[at] = top + number[rule]
+        top += len(used)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
-        newest, top = top, top + len(used)
+        # A pair without a new symbol occurs no more often than before: only those that were frequent can be.
+        again = np.zeros(len(seq), bool)
+        again[where] = frequent
+        again[at] = True
+        before = at[at > 0] - 1
+        again[before - ~keep[before]] = True
+        place[spots] = 0
+        keep = np.flatnonzero(keep)
+        seq = seq.take(keep)
+        where = np.flatnonzero(again.take(keep[:-1]))
+        code = (seq.take(where) << SYMBOL_BITS) | seq.take(where + 1)
     return seq.astype("<u4"), (np.concatenate(rules) if rules else np.zeros((0, 2))).astype("<u4")
 
 
@@ -207,9 +213,8 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col:
             return pa.RecordBatch.from_pydict({"part": [part], "block": [block], "start": [start], "n_docs": [len(held)], "n_tokens": [size], "data": [write_block(numbers, held)]}, schema)
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                piece = batch.slice(i, 64)
-                ids = enc.encode(piece.column(1).to_pylist())
+            for piece in runs_of_rows(batch):
+                ids = enc.encode(piece.column(1))
                 for d, b in zip(piece.column(0).to_pylist(), ids, strict=True):
                     numbers.append(d)
                     held.append(b)
